@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, fingerprint, packing, pii, quality, toxicity
+from strata.llm import decontaminate, fingerprint, neardup, packing, pii, quality, toxicity
 
-_OPERATORS = (fingerprint.op5_fingerprints, pii.op7_pii, toxicity.op8_toxicity, quality.op9_quality_classifier, decontaminate.op6_decontamination, packing.op10_best_fit_packing)
+_OPERATORS = (neardup.op3_near_duplicates, fingerprint.op5_fingerprints, pii.op7_pii, toxicity.op8_toxicity, quality.op9_quality_classifier, decontaminate.op6_decontamination, packing.op10_best_fit_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

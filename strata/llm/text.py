@@ -136,4 +136,4 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(m, np.uint64)
     for j in range(min(size, n)):
         out += words[j : j + m] * np.uint64(pow(_BASE, 2 * j + 3, 1 << 64))
-    return mix(out + np.uint64(min(n, size)) * _MIX2)
+    return mix(out + np.uint64(min(n, size) * int(_MIX2) & 0xFFFFFFFFFFFFFFFF))

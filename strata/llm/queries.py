@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, fingerprint, neardup, packing, pii, quality, toxicity
+from strata.llm import decontaminate, fingerprint, neardup, packing, pii, quality, toxicity, warc
 
-_OPERATORS = (neardup.op3_near_duplicates, fingerprint.op5_fingerprints, pii.op7_pii, toxicity.op8_toxicity, quality.op9_quality_classifier, decontaminate.op6_decontamination, packing.op10_best_fit_packing)
+_OPERATORS = (warc.op1_warc, neardup.op3_near_duplicates, fingerprint.op5_fingerprints, pii.op7_pii, toxicity.op8_toxicity, quality.op9_quality_classifier, decontaminate.op6_decontamination, packing.op10_best_fit_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _OPERATORS}
 
 
+OP1 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), o AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS original FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to
+FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, fingerprint, neardup, packing, pii, quality, suffix, toxicity, warc
+from strata.llm import decontaminate, fingerprint, neardup, packing, passages, pii, quality, suffix, toxicity, warc
 
-_OPERATORS = (warc.op1_warc, suffix.op2_suffix_dedup, neardup.op3_near_duplicates, fingerprint.op5_fingerprints, pii.op7_pii, toxicity.op8_toxicity, quality.op9_quality_classifier, decontaminate.op6_decontamination, packing.op10_best_fit_packing)
+_OPERATORS = (warc.op1_warc, suffix.op2_suffix_dedup, neardup.op3_near_duplicates, passages.op4_repeated_passages, fingerprint.op5_fingerprints, pii.op7_pii, toxicity.op8_toxicity, quality.op9_quality_classifier, decontaminate.op6_decontamination, packing.op10_best_fit_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -188,7 +188,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(pack, doc_id, text, marks): documents with the windows that came before, as rows of a pack."""
     spark = docs.sparkSession
-    parts = 2 * partitions(spark)
+    parts = partitions(spark)
     rows = texts(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("pack"), "doc_id", "text")
     packs = rows.groupBy("pack")
 

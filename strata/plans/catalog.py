@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strata.plans.tables import checkpoints
 
-GROUPS = ("search", "records", "build", "evaluate")
+GROUPS = ("search", "records", "build", "evaluate", "provenance")
 
 
 def _registered() -> dict[str, tuple[Callable, str | None]]:

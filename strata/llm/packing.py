@@ -86,6 +86,16 @@ class ChunkEncoder:
         return self.flat[np.repeat(self.start[at] - before, size) + np.arange(int(size.sum()))]
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """The encoder of this Python worker: its cache serves the tasks that follow as well."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Cut documents into pieces of at most ``capacity`` tokens.
 
@@ -94,7 +104,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(path or tokenizer_path())
+        encode = encoder(path or tokenizer_path())
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

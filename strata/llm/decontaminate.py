@@ -9,7 +9,6 @@ their size; more of them are searched block by block.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -261,10 +260,5 @@ def near_matches(docs: DataFrame, items: DataFrame, within: int = 8) -> DataFram
     return out.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"))
 
 
-def items_digest(items: list[int]) -> str:
-    """What items_sha256 is of."""
-    return hashlib.sha256(",".join(sorted(map(str, set(items)))).encode()).hexdigest()
-
-
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

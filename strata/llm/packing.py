@@ -13,7 +13,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 _LATIN = re.compile(r"[\x00-\xff]*")
+_TAIL = ".,"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is
+    visible in Latin-1, else the next one from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(0x100 + hidden.index(b)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
 
 
 class ChunkEncoder:
@@ -50,26 +62,54 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_chunks, self.most_ids = Tokenizer.from_file(path), chunks, ids
+        self.model = self.tokenizer.model
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.used, self.tails = 0, {}
+
+    def _ids(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks.  A lower-case Latin-1 word is one pre-token, so only the merges are left to do;
+        full stops or commas behind it are another one.  Other chunks go through the whole tokenizer."""
+        out: list[list[int]] = []
+        others: list[int] = []
+        merges, known = self.model.tokenize, self.index.get
+        for chunk in chunks:
+            word = chunk.rstrip(_TAIL)
+            if not (word.isalpha() and word.islower() and (word.isascii() or _LATIN.fullmatch(word))):
+                others.append(len(out))
+                out.append([])
+                continue
+            k = known(word) if len(word) < len(chunk) else None
+            if k is not None:
+                ids = self.flat[self.start[k] : self.start[k] + self.size[k]].tolist()
+            else:
+                ids = [t.id for t in merges(word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))]
+            if len(word) < len(chunk):
+                tail = chunk[len(word) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+                ids += self.tails[tail]
+            out.append(ids)
+        for k, e in zip(others, self.tokenizer.encode_batch_fast([chunks[k] for k in others], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
 
     def _add(self, chunks: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        n = len(self.index)
+        found = self._ids(chunks)
+        n, size = len(self.index), np.fromiter(map(len, found), np.int64, len(found))
+        end = self.used + int(size.sum())
         while n + len(chunks) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        for chunk, e in zip(chunks, encoded):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            k = self.index[chunk] = len(self.index)
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : end] = list(chain.from_iterable(found))
+        self.size[n : n + len(chunks)] = size
+        self.start[n : n + len(chunks)] = self.used + np.cumsum(size) - size
+        self.index.update(zip(chunks, range(n, n + len(chunks))))
+        self.used = end
 
     def __call__(self, text: str) -> np.ndarray:
         if len(self.index) > self.most_chunks or self.used > self.most_ids:

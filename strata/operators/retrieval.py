@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.lexical import is_name_token, one_edit, term_counts, tokens_of
+from strata.functions.lexical import counted, is_name_token, one_edit, tokens_of
 from strata.functions.urls import clamp, dot
 
 K1, B, TYPO = 1.2, 0.75, 0.65
@@ -21,9 +21,8 @@ def small(frame: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """(doc, token, tf, length): counted within each text, so nothing is shuffled."""
-    counted = docs.select(F.col(doc).alias("doc"), term_counts(F.col(text)).alias("terms"))
-    length = F.aggregate("terms", F.lit(0), lambda n, t: n + t["tf"])
-    return counted.select("doc", length.alias("length"), F.explode("terms").alias("t")).select("doc", "t.token", "t.tf", "length")
+    kind = docs.schema[doc].dataType.simpleString()
+    return docs.select(doc, text).mapInArrow(counted, f"doc {kind}, token string, tf int, length int")
 
 
 def term_stats(post: DataFrame) -> DataFrame:

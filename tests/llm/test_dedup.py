@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -188,3 +189,40 @@ def test_shared_passages_are_found(corpus, nothing):
     assert len(near) < len(covered)  # only near copies besides
     assert Counter(r.class_id for r in found.values() if not r.n_passages).most_common(1)[0][1] == 1
     assert passages.repeated_passages(nothing).count() == 0
+
+
+def test_named_runs_are_shared_by_whatever_shares_least_tokens():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(1, 1 << 62, passages.LEAST, dtype=np.uint64)
+    for _ in range(50):
+        keys = []
+        for _ in range(2):
+            parts = [rng.integers(1, 1 << 62, rng.integers(0, 90), dtype=np.uint64) for _ in range(2)]
+            tokens = np.concatenate([parts[0], passage, parts[1]])
+            start = passages.named_runs(*passages.compact_windows(passages.mix(tokens), np.array([len(tokens)])))
+            keys.append({tuple(tokens[a : a + passages.NEEDED].tolist()) for a in start.tolist()})
+            assert [len(set(k)) for k in keys[-1]] == [passages.NEEDED] * len(keys[-1])
+            got = passages.runs_of(tokens, passages.NEEDED)
+            assert len(got) == len(tokens) - passages.NEEDED + 1 and len(set(got.tolist())) == len(got)
+        assert keys[0] & keys[1]
+
+
+def test_partial_quotes_of_lower_ids_hide_no_passage(spark):
+    rng = random.Random(21)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(n))
+    texts = []
+    want = []
+    for _ in range(12):
+        p = fresh(54).split()
+        quotes = [f"{fresh(40)} {' '.join(p[a : a + 34])} {fresh(40)}" for a in range(0, 21, 2)]
+        both = [f"{fresh(30)} {' '.join(p[k : k + 30])} {fresh(30)} {' '.join(p)} {fresh(20)}" for k in (0, 24)]
+        texts += quotes
+        want.append((len(texts), len(texts) + 1))
+        texts += both
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in passages.repeated_passages(docs).collect()}
+    for x, y in want:
+        for d in (x, y):
+            runs = [tuple(map(int, r.split(":"))) for r in found[d].passages.split(",") if r]
+            assert any(a <= 90 and b >= 144 for a, b in runs), (d, runs)
+        assert found[x].class_id == found[y].class_id == x

@@ -3,7 +3,8 @@
 Regular expressions propose spans; checksums (Luhn, mod 97) and digit counts
 confirm them; context words just before a span adjust its score.  The patterns
 are written so that no run of characters is scanned twice (possessive
-repeats, starts only where a run starts) and no repeat recurses.
+repeats, starts only where a run starts) and no repeat recurses; an IBAN is
+looked for at each start, in the at most 67 characters from there on.
 """
 
 from __future__ import annotations
@@ -31,6 +32,26 @@ class Kind(NamedTuple):
     score: float
     context: str
     gain: float
+    whole: str = ""  # what a span is, where ``pattern`` only matches its first characters
+
+
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """As many characters as the country has, single spaces between them aside; codes of no country: as many as there are."""
+    codes = {n: c.replace(" ", "|") for n, c in IBAN_LENGTHS.items()}
+    known = [rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in codes.items()]
+    other = rf"(?!{'|'.join(codes.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"
+    return rf"(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
+IBAN = _iban()
 
 
 def _digits(x: Column) -> Column:
@@ -57,7 +78,10 @@ KINDS = (
         lambda x: F.call_function("luhn_check", _digits(x)), 0.8, "card|visa|credit|pay|karte|carte|tarjeta", 0.2,
     ),
     Kind("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: F.length(_digits(x)).between(9, 15), 0.6, "tel|phone|call|mobile|fax", 0.3),
-    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", mod_97, 0.9, "iban|account|bank|konto|compte|cuenta", 0.1),
+    Kind(
+        "iban", "", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?={IBAN})[A-Z]{{2}}[0-9]{{2}}",
+        mod_97, 0.9, "iban|account|bank|konto|compte|cuenta", 0.1, f"^{IBAN}",
+    ),
     Kind(
         "ssn", "-", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
         lambda x: F.lit(True), 0.3, "ssn|social|security|insurance", 0.5,
@@ -73,6 +97,7 @@ def _no_spans() -> Column:
 def kind_spans(text: Column, kind: Kind, order: int) -> Column:
     """Array of (start, kind_order, end, score) of the valid spans; code points, end exclusive.
 
+    Where a match is only the first characters of a span, spans may start inside others.
     The text between two matches comes from splitting by the same pattern, so
     positions are running sums of lengths.
     """
@@ -82,12 +107,15 @@ def kind_spans(text: Column, kind: Kind, order: int) -> Column:
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["hit"])
+        to = start + F.char_length(pair["hit"])
+        # twice an IBAN's most characters, for the spaces, and one behind
+        hit = F.when(pair["hit"].isNotNull(), F.regexp_extract(F.substr(text, start + 1, F.lit(69)), kind.whole, 0)) if kind.whole else pair["hit"]
+        end = start + F.char_length(hit)
         context = F.right(pair["gap"], F.lit(REACH)).rlike(f"(?i)(?:{kind.context})")
         score = F.lit(kind.score) + F.when(context, F.lit(kind.gain)).otherwise(F.lit(0.0))
-        keep = pair["hit"].isNotNull() & kind.valid(pair["hit"]) & (F.lit(order < BASE) | (score >= LEAST_SCORE))
+        keep = pair["hit"].isNotNull() & kind.valid(hit) & (F.lit(order < BASE) | (score >= LEAST_SCORE))
         one = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), score.alias("score")))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(keep, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(F.coalesce(to, acc["at"]).alias("at"), F.when(keep, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
     found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
     return F.when(F.contains(text, F.lit(kind.sign)), found).otherwise(empty) if kind.sign else found

@@ -129,6 +129,23 @@ def test_personal_data_equal_plain_patterns(spark, nothing):
     assert pii.find_pii(nothing).count() == 0
 
 
+def test_ibans_before_capitals_and_digits(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE89370400440532013000", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S"]
+    behind = ["", " BIC COBADEFF", " Please pay", " 12 June", " A", ", X1", " GB82WEST12345698765432", " 1234 5678 9012 3456 7890"]
+    texts = [(before, iban, after) for before in ("", "é IBAN ", "AT12 ", "MR12 ") for iban in ibans for after in behind]
+    wrong = ["DE89370400440532013001 Please", "DE89370400440532013000X", "XDE89370400440532013000"]
+    docs = spark.createDataFrame([(i, "".join(t)) for i, t in enumerate([*texts, *wrong])], "doc_id long, text string")
+    spans = {r.doc_id: r.spans.split(",") for r in pii.find_pii(docs).select("doc_id", "spans").collect()}
+    for i, (before, iban, after) in enumerate(texts):
+        assert f"iban:{len(before)}:{len(before + iban)}" in spans[i], texts[i]
+        assert sum(x.startswith("iban") for x in spans[i]) == 1 + ("GB82" in after), texts[i]
+    assert not any("iban" in x for i in range(len(texts), len(docs.collect())) for x in spans[i])
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert masked[1] == "[IBAN] BIC COBADEFF" and masked[len(behind) + 2] == "[IBAN] Please pay" and masked[2 * len(behind) + 3] == "[IBAN] 12 June"
+    lengths = [c for codes in pii.IBAN_LENGTHS.values() for c in codes.split()]
+    assert len(lengths) == len(set(lengths))
+
+
 def test_masking(spark):
     docs = spark.createDataFrame([(1, "é write a.b@c.de, +1 (555) 555-1234!", 30, "x"), (2, None, None, "y"), (3, "plain", 5, "z")], "doc_id long, text string, n_chars long, __other string")
     rows = {r.doc_id: r for r in pii.mask(docs).collect()}

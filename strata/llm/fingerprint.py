@@ -8,6 +8,8 @@ text are those of the part kept and of the part put in.
 Texts of up to ``SHORT`` code points have k-mers of UTF-8 bytes, texts from
 ``LONG`` on have k-mers of words; between the two they have both, so that a text
 and an edit of it, which keeps three quarters, always have one kind in common.
+Neighbours of which one is below ``LONG`` and one above ``SHORT`` are compared by
+k-mers of bytes, which the longer has for this alone, not in its fingerprint.
 The sketch of a kind is its least ``SKETCH`` distinct anchor hashes.
 """
 
@@ -97,8 +99,8 @@ def _shared(a: Column, b: Column) -> Column:
 
 def likeness(x: Column, y: Column) -> Column:
     """Share of anchors in common, estimated from two sketches: of the least hashes of both together a
-    share J is in both; 2 J / (1 + J).  Two empty sketches are alike; texts without a kind in common,
-    of which one is much the longer, are not."""
+    share J is in both; 2 J / (1 + J).  Two empty sketches are alike.  Texts without a kind in common
+    have no likeness by these (0)."""
     (a, b), (c, d) = ((_kind(v, 0), _kind(v, 1)) for v in (x, y))
     return F.when(a.isNotNull() & c.isNotNull(), _shared(a, c)).when(b.isNotNull() & d.isNotNull(), _shared(b, d)).otherwise(F.lit(0.0))
 
@@ -156,30 +158,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("edited", F.concat("kept", F.substr(F.coalesce("next", F.lit("")), F.lit(1), part)))
     rows = rows.withColumn("m", F.char_length("edited")).withColumn("words", F.when(n >= LONG, words(F.col("text"))))
     m = F.col("m")
+    beside = F.coalesce(F.least(F.lag("n").over(order), F.lead("n").over(order)) < LONG, F.lit(False))
+    rows = rows.withColumn("beside", beside)
     rows = rows.select(
         "doc_id", "bucket", "guest", "tie", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "m", "words",
         F.when(own & (m >= LONG), words(F.col("edited"))).alias("edited_words"),
         # words that the two texts begin with: all whole words of the part kept
         F.when(own & (m >= LONG) & (n >= LONG), F.greatest(F.size(words(F.col("kept"))) - 1, F.lit(0))).alias("same"),
-        F.when(n <= SHORT, byte_sketch(F.col("text").cast("binary"))).alias("fp_bytes"),
+        F.when((n <= SHORT) | F.col("beside"), byte_sketch(F.col("text").cast("binary"))).alias("any_bytes"),
         F.when(own & (m <= SHORT), byte_sketch(F.col("edited").cast("binary"))).alias("efp_bytes"),
     )
     cut = F.greatest(F.coalesce("same", F.lit(0)) - (WORD_K - 2), F.lit(1))  # the first k-mer that is not of these words alone
     rows = rows.select(
-        "doc_id", "bucket", "guest", "tie", "n", "m", "edited_sha256", "fp_bytes", "efp_bytes",
+        "doc_id", "bucket", "guest", "tie", "n", "m", "edited_sha256", "any_bytes", "efp_bytes",
         F.when(n >= LONG, word_sketch(F.slice("words", F.lit(1), F.coalesce("same", F.lit(0))))).alias("a"),
         F.when(n >= LONG, word_sketch(F.slice("words", cut, F.lit(1 << 30)))).alias("b"),
         F.when(own & (m >= LONG), word_sketch(F.slice("edited_words", cut, F.lit(1 << 30)))).alias("c"),
     )
     rows = rows.select(
-        "*", F.struct(F.col("fp_bytes").alias("bytes"), F.when(n >= LONG, _least(F.concat("a", "b"))).alias("words")).alias("fp"),
+        "*", F.struct(F.when(n <= SHORT, F.col("any_bytes")).alias("bytes"), F.when(n >= LONG, _least(F.concat("a", "b"))).alias("words")).alias("fp"),
         F.struct(F.col("efp_bytes").alias("bytes"), F.when(m >= LONG, _least(F.concat(F.coalesce("a", _none()), "c"))).alias("words")).alias("efp"),
     )
-    rows = rows.withColumn("nfp", F.lead("fp").over(order)).where(own)
+    after = [F.lead(c).over(order).alias(to) for c, to in (("fp", "nfp"), ("any_bytes", "next_bytes"), ("n", "next_n"))]
+    rows = rows.select("*", *after).where(own)
+    apart = (F.least("n", "next_n") < LONG) & (F.greatest("n", "next_n") > SHORT)
     return rows.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
-        likeness(F.col("fp"), F.coalesce("nfp", "fp")).alias("near_next"),
+        F.when(apart, _shared(F.col("any_bytes"), F.col("next_bytes"))).otherwise(likeness(F.col("fp"), F.coalesce("nfp", "fp"))).alias("near_next"),
     )
 
 

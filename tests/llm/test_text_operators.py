@@ -176,6 +176,19 @@ def test_fingerprints(corpus, nothing, spark):
     assert fingerprint.fingerprints(nothing).count() == 0
 
 
+def test_short_and_long_neighbours_are_compared(spark):
+    rng = random.Random(11)
+    fresh = lambda n: "".join(rng.choice("abcdefghijklmnop   ") for _ in range(n))
+    article, long = fresh(401), fresh(900)
+    texts = [article[:249], article, article[100:300], fresh(240), long, long[:240], " " * 240, " " * 500, "", fresh(450)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grams = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    for r in fingerprint.fingerprints(docs).collect():
+        a, b = grams[r.doc_id], grams[(r.doc_id + 1) % len(texts)]
+        assert abs(r.near_next - (2 * len(a & b) / (len(a) + len(b)) if a or b else 1)) < 0.2, r.doc_id
+        assert ("b:" in r.fingerprint) == (len(texts[r.doc_id]) <= fingerprint.SHORT)
+
+
 def test_fingerprint_plan_is_native(corpus):
     plan = fingerprint.fingerprints(corpus[0])._jdf.queryExecution().toString() + pii.find_pii(corpus[0])._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -12,7 +12,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder where the cluster names none, as in tests."""
+    """A checkpoint folder where none is named, as in tests; a cluster has to name one."""
     sc = spark.sparkContext
     if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strata-"))

@@ -5,26 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.skew import spread_join
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the least node reachable, for every node of the edge list (longs).
 
-    Alternates large-star and small-star steps, which partial aggregation keeps
-    even for hubs, and cuts the lineage at each round.
+    Alternates large-star and small-star steps and cuts the lineage at each
+    round.  Least neighbours are partial aggregates, and the edges of a hub are
+    dealt over many tasks.
     """
     pairs = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u > v").distinct().checkpoint()
-    if pairs.isEmpty():
+    mark = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = mark(pairs)
+    if not seen[0]:
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("label"))
     while True:
         # large star: neighbours above a node go to the least of its neighbours and itself
         both = pairs.unionByName(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.join(least, F.col("v") == F.col("n")).where("u > v").select(F.col("m").alias("v"), "u").where("u > v").distinct()
+        least = both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("size")).select("v", F.least("v", "m").alias("m"), "size")
+        large = spread_join(both.where("u > v"), least, "v", "size", 2 * seen[0]).select(F.col("m").alias("v"), "u").where("u > v").distinct()
         # small star: neighbours below a node, and itself, go to the least of them
-        lowest = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        small = large.join(lowest, F.col("u") == F.col("n")).select(F.col("m").alias("v"), F.explode(F.array("v", "u")).alias("u")).where("u > v").distinct().checkpoint()
-        same = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if same == pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first():
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+        small = spread_join(large, lowest, "u", "size", 2 * seen[0]).select(F.col("m").alias("v"), F.explode(F.array("v", "u")).alias("u")).where("u > v").distinct().checkpoint()
+        now = mark(small)
+        if now == seen:
             break
-        pairs = small
+        pairs, seen = small, now
     return small.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

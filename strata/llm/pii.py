@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.session import prepare, table, texts
+from strata.operators.skew import free_name
 
 #: Spans of the added kinds count from this score on.
 LEAST_SCORE = 0.5
@@ -155,10 +156,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets, and n_chars (where there is one) counted anew.
 
-    Spans that overlap are masked as one, under the first one's kind.  Null texts stay null.
+    Spans that overlap are masked as one, under the first one's kind.  Null texts stay null, repeated rows stay
+    repeated, no rows give no rows, and docs' other columns stay as they are, whatever they are called.
     """
     prepare(docs.sparkSession)
-    spans, at = "__pii", docs.columns
+    spans, at = free_name(docs, "pii"), docs.columns
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:

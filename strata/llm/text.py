@@ -32,7 +32,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-POW = _powers(_BASE, _POWERS)
+#: One random odd number for each of the first places of a word; later places repeat them, times one of their block.
+PLACE = np.random.default_rng(20240301).integers(0, 1 << 63, _POWERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: One random 64-bit value per byte.
 VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -53,6 +54,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _SHIFT)
 
 
+def _places(at: np.ndarray) -> np.ndarray:
+    """What places in a word are multiplied by: no two places are known to have the same."""
+    out = PLACE[at & (_POWERS - 1)]
+    far = np.flatnonzero(at >= _POWERS)
+    if len(far):
+        out[far] *= mix((at[far] // _POWERS).astype(np.uint64)) | np.uint64(1)
+    return out
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -112,11 +122,12 @@ class Words:
             total = int(size.sum())
             at = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
             chars = data[a:b][m] if total == int(np.count_nonzero(m)) else data[a:b][np.repeat(first, size) + at]
-            power, before = POW[at & (_POWERS - 1)], np.cumsum(size) - size
+            place, before = _places(at), np.cumsum(size) - size
             for table_, out in ((lower, hashes), (shape, shapes)):
                 if out is hashes or table_ is not None:
                     terms = (VALUE if table_ is None else VALUE[table_])[chars]
-                    terms *= power
+                    terms *= place
+                    terms ^= terms >> _SHIFT
                     out.append(mix(np.add.reduceat(terms, before) + size.astype(np.uint64) * _MIX1))
             firsts.append(first + a)
             ends.append(stop + a)

@@ -74,9 +74,7 @@ class Lexicon:
         odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
         sure = (seen[1] >= 3) & (odds > 2.0)
         sure[0] = False
-        at = np.flatnonzero(sure)
-        at = at[np.argsort(-(odds[at] * np.sqrt(seen[1][at])), kind="stable")[:4096]]
-        self.at = np.sort(at)
+        self.at = np.flatnonzero(sure)  # at most BUCKETS
         self.weight = odds[self.at].astype(np.float32)
 
     def table(self) -> np.ndarray:

@@ -26,6 +26,8 @@ from strata.llm.session import prepare, shared_path, table
 LEAST_REVISIT = 1000
 #: Bytes of an archive file after which a task begins another, and of a reading task's range.
 FILE_BYTES, SPLIT_BYTES = 256 << 20, 8 << 20
+#: Reading tasks; more ranges than that are shared out evenly among them.
+MOST_TASKS = 1_000_000
 MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 18
 #: A header section of more bytes is no WARC record.
@@ -194,13 +196,16 @@ PAGES = "page_id long, payload_bytes long, payload_digest string, record_type st
 
 
 def read(files: DataFrame, split: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """Page records of archives: ``files`` has path and bytes; each task takes ranges of ``split`` bytes.
+    """Page records of archives: ``files`` has path and bytes; each range of ``split`` bytes is a task.
 
     Size and digest are those of the payload read; a revisit's are those its
     headers give for the payload it stands for.
     """
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)).cast("long"), F.lit(split).cast("long"))
-    ranges = files.select("path", "bytes", F.explode(starts).alias("start")).repartition(F.col("path"), F.col("start"))
+    ranges = files.select("path", "bytes", F.explode(starts).alias("start"))
+    # a number of its own: partitions without one would be merged, as rows that name ranges are small
+    total = files.agg(F.sum(F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / split))).first()[0] or 1
+    ranges = ranges.repartition(min(int(total), MOST_TASKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
@@ -238,7 +243,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     A null html is an empty payload, a null url leaves the target out, a null
     page_id is read back as null.  Of rows with the same page_id and payload
-    all are responses if that page_id is the largest.
+    all are responses if that page_id is the largest.  No rows give no rows, and
+    columns other than page_id, url and html are not looked at.
     """
     prepare(pages.sparkSession)
     files = write(pages, shared_path(pages.sparkSession, "warc"))

@@ -41,13 +41,13 @@ def test_words_of_many_texts(texts, size):
         kernel.SLICE = kept
 
 
-def brute_components(rows):
+def brute_components(rows, share=85):
     sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for _, t in rows]
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and 100 * both >= share * (len(sets[i]) + len(sets[j]) - both):
                 a, b = label[i], label[j]
                 label = [b if x == a else x for x in label]
     least = defaultdict(lambda: 1 << 60)
@@ -62,12 +62,48 @@ def test_near_duplicates_equal_brute_force(corpus, nothing, monkeypatch):
     assert sorted(tuple(r) for r in neardup.near_duplicates(docs).collect()) == want
     assert sum(w[3] for w in want) < len(want) - 10
     assert neardup.near_duplicates(nothing).count() == 0
-    kept = neardup.keep_one_of_each(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {w[0] for w in want if w[3]}
+    kept = neardup.keep_one_of_each(docs, neardup.SHARE)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({w[0] for w in want if w[3]})  # one of the repeated row
     monkeypatch.setattr(neardup, "BLOCK", 3)  # large clusters go in pairs of blocks
     assert sorted(tuple(r) for r in neardup.near_duplicates(docs).collect()) == want
 
 
+def test_stage_keeps_one_row_of_each_component(spark, corpus, nothing):
+    docs, rows = corpus
+    a, b = rows[15][1], rows[16][1]
+    odd = [(None, a), (None, a), (5, a), (5, b), (5, b), (7, b), (None, None), (9, None), (9, None), (9, ""), (8, " "), (None, "only without an id")]
+    frame = spark.createDataFrame([(d, t, "x", "y") for d, t in odd], "doc_id long, text string, n string, digest string")
+    kept = neardup.keep_one_of_each(frame)
+    assert kept.columns == frame.columns
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (None, ""), (9, ""), (8, " "), (None, "only without an id")], key=str)
+    want = brute_components(rows, 80)
+    assert sorted(r.doc_id for r in neardup.keep_one_of_each(docs).collect()) == sorted({w[0] for w in want if w[3]})
+    assert neardup.keep_one_of_each(nothing).count() == 0
+
+
+def test_words_that_polynomials_confuse_have_different_hashes():
+    import pyarrow as pa
+
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << 11))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    far = "x" * (1 << 16)
+    texts = [morse, other, morse + far + other, other + far + morse, "a" + far[1:] + "b", "b" + far[1:] + "a"]
+    for table in (SPACED, ALNUM):
+        assert len(set(Words(*flat(pa.array(texts)), table).hash.tolist())) == len(texts)
+
+
+def test_spread_join_equals_a_plain_join(spark):
+    from strata.operators.skew import spread_join
+
+    many = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(5000)] + [(None, i) for i in range(1500)], "k long, v long")
+    one = spark.createDataFrame([(0, 2500, "hot"), (2, 1, "two"), (-1, 7, "none")], "k long, size long, w string")
+    for how in ("inner", "left"):
+        plain = many.join(one.drop("size"), "k", how)
+        got = spread_join(many, one, "k", "size", 6500, how)
+        assert got.columns == plain.columns and got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+
+
 def test_estimates_are_close():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
@@ -81,9 +117,9 @@ def test_estimates_are_close():
 
 
 def test_components(spark):
-    edges = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 6), (100, 3)] + [(1000, i) for i in range(1001, 1100)]
+    edges = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 6), (100, 3)] + [(1000, i) for i in range(1001, 4000)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found[100] == 1 and found[5] == 4 and found[8] == 6 and all(found[i] == 1000 for i in range(1000, 1100)) and 9 not in found
+    assert found[100] == 1 and found[5] == 4 and found[8] == 6 and all(found[i] == 1000 for i in range(1000, 4000)) and 9 not in found
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

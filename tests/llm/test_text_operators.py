@@ -33,6 +33,7 @@ def test_archives_round_trip(spark, tmp_path):
     files = warc.write(pages, f"file://{tmp_path}/w").persist()
     for split in (37, 500, 1 << 20):  # any split reads each record once, with its payload
         got = warc.read(files, split).collect()
+        assert warc.read(files, split).rdd.getNumPartitions() == sum(-(-r.bytes // split) for r in files.collect())
         assert len(got) == len(rows) and {bytes(r.payload).decode() for r in got if r.page_id == 1} == {long}
 
 
@@ -147,10 +148,11 @@ def test_ibans_before_capitals_and_digits(spark):
 
 
 def test_masking(spark):
-    docs = spark.createDataFrame([(1, "é write a.b@c.de, +1 (555) 555-1234!", 30, "x"), (2, None, None, "y"), (3, "plain", 5, "z")], "doc_id long, text string, n_chars long, __other string")
+    docs = spark.createDataFrame([(1, "é write a.b@c.de, +1 (555) 555-1234!", 30, "x"), (2, None, None, "y"), (3, "plain", 5, "z")], "doc_id long, text string, n_chars long, pii string")
     rows = {r.doc_id: r for r in pii.mask(docs).collect()}
     assert rows[1].text == "é write [EMAIL], [PHONE]!" and rows[1].n_chars == 25 and rows[2].text is None and rows[3].text == "plain"
-    assert pii.mask(docs).columns == docs.columns
+    assert pii.mask(docs).columns == docs.columns and [rows[i].pii for i in (1, 2, 3)] == ["x", "y", "z"]
+    assert pii.mask(docs.unionByName(docs)).count() == 6 and pii.mask(docs.limit(0)).count() == 0
 
 
 def test_fingerprints(corpus, nothing, spark):

@@ -42,6 +42,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text that a Python worker holds at once where documents are dealt into packs (it needs about 30 times as many).
+PACK_BYTES = 24 << 20
+
+
+def packs_of(docs: DataFrame) -> int:
+    """Packs to deal documents into: as many as shuffle partitions, more where those would be larger than PACK_BYTES."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-int(size) // PACK_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ anchors; windows that follow each other mostly share one and form a segment.
 
 1. Packs of documents find their segments.  Segments that a pack repeats are
    settled there; of the others only hashes go to the partition of their anchor.
-2. There, a segment whose bytes came before is removed as a whole.  Of the first
+2. There, a segment whose bytes came before (by the anchor and 128 bits of two hashes) is removed as a whole.  Of the first
    ones, those whose anchor another segment has too are asked for their bytes.
 3. The bytes of these are sorted by suffix in batches, by document and start.  A
    batch's suffix array is scanned against the levels there are for windows that
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.session import partitions, prepare, table, texts
+from strata.llm.session import packs_of, prepare, table, texts
 from strata.llm.text import VALUE, _powers, flat, mix
 
 LENGTH = 100
@@ -50,7 +50,9 @@ def _tables() -> list[np.ndarray]:
 
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-    """first window, number of windows, anchor hash and content hash of segments, in order.
+    """first window, number of windows, anchor hash and two content hashes of segments, in order.
+
+    The first content hash is a polynomial of the bytes, the second one of the mixed hashes of the k-grams.
 
     ``ends``: for each byte, none; an ascending array of where the texts end.
     Windows never cross an end.
@@ -82,7 +84,9 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> Iterat
         # documents that follow without a gap cannot share an anchor, but zero windows lie between them
         first, size = first[inside[first]], size[inside[first]]
         content = mix((total[first + size + length - 1] - total[first]) * down[first] + size.astype(np.uint64))
-        yield first + a, size, (grams[anchor[first]] >> np.uint64(7)).astype(np.uint32), content
+        np.cumsum(grams * up[: len(grams)], out=total[1 : len(grams) + 1])
+        more = mix((total[first + size + length - gram] - total[first]) * down[first])
+        yield first + a, size, (grams[anchor[first]] >> np.uint64(7)).astype(np.uint32), content, more
 
 
 def dump(*columns: np.ndarray) -> bytes:
@@ -131,6 +135,13 @@ class Pack:
         head = self.head[np.searchsorted(self.unique, self.ids[row])]
         return self.ids[row], at - self.offsets[head]
 
+    def only(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and offsets of the texts of these doc_ids."""
+        row = self.head[np.searchsorted(self.unique, doc)]
+        size = np.diff(self.offsets)[row]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        return self.data[np.repeat(self.offsets[row] - offsets[:-1], size) + np.arange(int(offsets[-1]))], offsets
+
     def byte(self, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
         return self.offsets[self.head[np.searchsorted(self.unique, doc)]] + start
 
@@ -139,7 +150,7 @@ def _found(pack: Pack, length: int) -> tuple[np.ndarray, ...]:
     ends = pack.offsets[1:][np.diff(pack.offsets) > 0]
     parts = list(segments(pack.data, ends, length))
     if not parts:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint32, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint32, np.uint64, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
@@ -180,6 +191,15 @@ class SuffixLevels:
         return out
 
 
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
     return edge[::2], edge[1::2] - edge[::2]
@@ -187,18 +207,16 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(pack, doc_id, text, marks): documents with the windows that came before, as rows of a pack."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = packs_of(docs)
     rows = texts(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("pack"), "doc_id", "text")
     packs = rows.groupBy("pack")
 
     def find(group: pa.Table) -> pa.Table:
         pack = Pack(group)
         number = group["pack"][0].as_py()
-        first, size, anchor, content = _found(pack, length)
-        order = np.lexsort((content, anchor))
-        a, c = anchor[order], content[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])] if len(a) else np.zeros(0, bool)
+        first, size, anchor, content, more = _found(pack, length)
+        order = np.lexsort((more, content, anchor))
+        new = _new(anchor[order], content[order], more[order])
         again = np.sort(order[~new])
         doc, start = pack.place(first[again])
         out = [(number % parts, number, _MARKS, dump(doc, start, size[again].astype(np.uint8)))] if len(again) else []
@@ -208,7 +226,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         doc, start = pack.place(first[keep])
         for x in np.split(np.arange(len(keep)), np.flatnonzero(np.diff(to)) + 1) if len(keep) else []:
             k = keep[x]
-            out.append((int(to[x[0]]), number, _HASHES, dump(anchor[k], content[k], doc[x], start[x], size[k].astype(np.uint8))))
+            out.append((int(to[x[0]]), number, _HASHES, dump(anchor[k], content[k], more[k], doc[x], start[x], size[k].astype(np.uint8))))
         return _table(out, "part pack kind blob")
 
     def settle(group: pa.Table) -> pa.Table:
@@ -220,13 +238,12 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             else:
                 got.append((pack, load(blob)))
         if got:
-            anchor, content, doc, start, size = (np.concatenate(c) for c in zip(*(x for _, x in got)))
+            anchor, content, more, doc, start, size = (np.concatenate(c) for c in zip(*(x for _, x in got)))
             pack = np.repeat([p for p, _ in got], [len(x[0]) for _, x in got])
-            order = np.lexsort((start, doc, content, anchor))
-            anchor, content, doc, start, size, pack = (c[order] for c in (anchor, content, doc, start, size, pack))
-            same = anchor[1:] == anchor[:-1]
-            new = np.r_[True, ~(same & (content[1:] == content[:-1]))]
-            group_of = np.cumsum(np.r_[True, ~same]) - 1
+            order = np.lexsort((start, doc, more, content, anchor))
+            anchor, content, more, doc, start, size, pack = (c[order] for c in (anchor, content, more, doc, start, size, pack))
+            new = _new(anchor, content, more)
+            group_of = np.cumsum(_new(anchor)) - 1
             asked = new & (np.bincount(group_of, new)[group_of] > 1)
             for kind, flag in ((_MARKS, ~new), (_ASKED, asked)):
                 at = np.flatnonzero(flag)
@@ -314,6 +331,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A null text is empty and keeps nothing; a null doc_id comes before all
     others; rows with the same doc_id come by text, repeated rows in any order.
+    No rows give no rows; other columns of docs are not looked at.
     """
     prepare(docs.sparkSession)
     return repeated(docs, length)

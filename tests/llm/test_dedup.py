@@ -262,3 +262,55 @@ def test_partial_quotes_of_lower_ids_hide_no_passage(spark):
             runs = [tuple(map(int, r.split(":"))) for r in found[d].passages.split(",") if r]
             assert any(a <= 90 and b >= 144 for a, b in runs), (d, runs)
         assert found[x].class_id == found[y].class_id == x
+
+
+def brute_passages(texts):
+    """All windows of 50 words against all: which documents have near duplicates (shingle sets, 0.8), with the windows."""
+    sets = []
+    for t in texts:
+        w = words(t)
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        sets.append([frozenset(grams[i : i + 46]) for i in range(len(grams) - 45)])
+    found = defaultdict(set)
+    for a in range(len(texts)):
+        for b in range(len(texts)):
+            if a != b and set().union(*sets[a]) & set().union(*sets[b]):
+                for i, x in enumerate(sets[a]):
+                    if any(10 * len(x & y) >= 8 * len(x | y) for y in sets[b] if len(x & y) > 40):
+                        found[a, b].add(i)
+    return found
+
+
+@pytest.mark.parametrize("piece", [30, 40, 48])
+def test_passages_among_pieces_of_them(spark, piece):
+    """Pieces in documents of lower id, passages with an edit, and a passage of 50 words: recall against all windows."""
+    rng = random.Random(piece)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    texts = []
+    for k in range(14):
+        size = (60, 50, 55)[k % 3]
+        p = fresh(size)
+        for _ in range(rng.randint(1, 12)):
+            a = rng.randrange(size - piece + 1)
+            texts.append(" ".join(fresh(20) + p[a : a + piece] + fresh(20)))
+        edited = list(p)
+        at = rng.randrange(10, size - 10)
+        if k % 4 == 1:
+            del edited[at]
+        elif k % 4 == 2:
+            edited.insert(at, "put")
+        elif k % 4 == 3:
+            edited[at] = "put"
+        texts += [" ".join(fresh(30) + p + fresh(25)), " ".join(fresh(10) + edited + fresh(40))]
+    want = brute_passages(texts)
+    docs = spark.createDataFrame([*enumerate(texts), (None, None), (None, texts[-1]), (3, texts[3])], "doc_id long, text string")
+    found = {}
+    for r in passages.found_passages(docs).where("partner IS NOT NULL AND doc_id >= 0 AND partner >= 0").collect():
+        found[r.doc_id, r.partner] = {i for s in r.spans for i in range(s.start, s.end - 49)}
+    out = {r.doc_id: r for r in passages.repeated_passages(docs).collect()}
+    linked = [(a, b) for a, b in want if out[a].class_id == out[b].class_id and out[a].n_passages]
+    recall = len(linked) / len(want)
+    identical = [(a, b) for a, b in want if set(zip(*(words(texts[a])[i:] for i in range(50)))) & set(zip(*(words(texts[b])[i:] for i in range(50))))]
+    print(f"pieces of {piece} words: {len(want)} links, recall {recall:.3f}; {len(identical)} of identical passages")
+    assert recall >= 0.95 and set(identical) <= set(linked) and len(want) >= 20
+    assert all((a, b) in want for a, b in found)  # nothing else is linked

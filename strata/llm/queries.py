@@ -50,9 +50,14 @@ iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS win
 dw AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM w, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
 h AS (SELECT doc_id, s, n, item_id FROM dw JOIN iw USING (n, win)),
 p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+u AS (SELECT item_id, n, w[s : s + n - 1] AS win, row_number() OVER () AS k FROM (SELECT DISTINCT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
+ut AS (SELECT k, len(list_distinct(win)) AS terms, unnest(list_distinct(win)) AS term FROM u),
+has AS (SELECT doc_id, k FROM (SELECT doc_id, unnest(list_distinct(w)) AS term FROM w) JOIN ut USING (term) GROUP BY doc_id, k, terms HAVING count(*) = terms),
+r AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM has JOIN u USING (k) JOIN w USING (doc_id)
+  WHERE len(list_filter(range(1, len(w) + 1), lambda a: list_has_all(w[a : a + 2 * n - 1], win))) > 0 GROUP BY doc_id),
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS ids FROM h GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)
 """
 
 

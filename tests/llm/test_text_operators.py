@@ -70,32 +70,74 @@ def brute_contamination(docs, items):
     return sorted(out)
 
 
-def test_contamination_equals_brute_force(spark, corpus, nothing):
+def test_contamination_equals_brute_force(spark, corpus, nothing, monkeypatch):
     docs, rows = corpus
     long = [t for _, t in rows if t and len(t.split()) > 100]
     items = [(1, " ".join(long[0].split()[5:40])), (20, "two words"), (3, None), (100, long[1][:300].upper()), (5, "!!"), (1, "one two three"), (None, "a")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame([(*x, "y") for x in items], "item_id long, text string, doc_id string")
     want = brute_contamination(rows, items)
-    assert sorted(tuple(r) for r in D.decontaminate(docs, bench).collect()) == want and any(w[5] for w in want)
+    assert sorted(tuple(r)[:6] for r in D.decontaminate(docs, bench).collect()) == want and any(w[5] for w in want)
     kept = D.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [w[0] for w in want if not w[5]]
     assert D.decontaminate(nothing, bench).count() == 0 and D.decontaminate(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
+    assert D.drop_contaminated(nothing, bench).count() == 0 and D.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+@pytest.mark.parametrize(("at_once", "block"), [(1 << 20, 1 << 22), (7, 1 << 22), (60, 2000), (1 << 20, 1)])
+def test_items_and_documents_in_parts(spark, corpus, at_once, block, monkeypatch):
+    """Repeated rows, rows of one doc_id and rows without one are judged each, however windows and blocks are parted."""
+    _, rows = corpus
+    rows = [*rows, *rows[9:14], (rows[10][0], rows[20][1]), (None, rows[9][1]), (None, None), (None, "two words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = [(i, t) for i, t in rows[9:30]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination([(-1 if d is None else d, t) for d, t in rows], items)
+    monkeypatch.setattr(D, "BLOCK_BYTES", block)
+    ids = lambda r: hashlib.sha256(",".join(sorted(map(str, r["items"]))).encode()).hexdigest()
+    found = D.find_items(docs, bench, at_once=at_once).withColumn("n_hit", D._n_hit()).collect()
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, len(r["items"]), ids(r), r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in found]
+    assert sorted(got) == want and all(set(r["items"]) <= set(r.near) for r in found)
+
 
+def test_contaminated_rows_go_by_their_text(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, passage), (1, "clean text of the same id"), (None, passage), (None, "clean"), (2, passage), (2, passage), (3, None), (3, None)]
+    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, digest string, _digest string")
+    kept = D.drop_contaminated(docs, spark.createDataFrame([(7, passage)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, rows[1][1]), (None, "clean"), (3, None), (3, None)], key=str)
 
-def test_items_in_blocks(spark, corpus):
+
+def test_the_index_is_stored(spark, corpus):
     docs, rows = corpus
-    unique = docs.dropDuplicates(["doc_id"])
-    bench = spark.createDataFrame([(i, t) for i, t in rows[9:30]], "item_id long, text string")
-    one, many = (sorted(map(str, D.find_items(unique, bench, block_words=n).collect())) for n in (1 << 20, 60))
-    assert len(one) == len(many)
-    pick = lambda n: {r.doc_id: (r.n_words, r.k, tuple(r["items"])) for r in D.find_items(unique, bench, block_words=n).withColumn("k", D._n_hit()).collect()}
-    assert pick(1 << 20) == pick(60)
+    index = D.build(docs)
+    assert [f for f in index.inputFiles() if f.endswith(".parquet")]
+    words = [w for _, t in rows for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))]
+    counted = {bytes(r.term).decode(): r.df for r in index.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df")).collect()}
+    assert counted == {w: words.count(w) for w in set(words)} and index.selectExpr("sum(size(docs))").first()[0] == len(rows)
+
+
+def test_numbers_of_postings():
+    rng = np.random.default_rng(4)
+    gaps = np.concatenate([rng.integers(0, 1 << k, 50) for k in (1, 7, 8, 14, 15, 21, 28, 35, 60)])
+    data, ends = D.encode(gaps)
+    assert D.decode(data).tolist() == gaps.tolist() and ends[-1] == len(data) and len(D.decode(data[:0])) == 0
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha " + "x " * 20 + "beta"), (3, "beta alpha")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, "alpha beta")], "item_id long, text string")
-    assert sorted(r.doc_id for r in D.near_matches(docs, items, 5).collect()) == [1, 3]
+    rng = random.Random(6)
+    vocabulary = [f"t{i}" for i in range(9)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 6)))) for i in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set()
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i, item in items:
+            own = item.split()
+            if any(set(own) <= set(w[a : a + D.STRETCH * len(own)]) for a in range(len(w))) and (len(own) > 1 or own[0] in w):
+                want.add((d, i))
+    found = [tuple(r) for r in D.near_matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert set(found) == want and len(found) == len(want) > 50
 
 
 BASE = [

@@ -1,16 +1,14 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A k-mer is an anchor if, of the s-mers inside it, the one with the least hash is
-the first or the last.  Whether a k-mer is an anchor depends on nothing around
-it, so texts share the anchors of what they share, and the anchors of an edited
-text are those of the part kept and of the part put in.
-
-Texts of up to ``SHORT`` code points have k-mers of UTF-8 bytes, texts from
-``LONG`` on have k-mers of words; between the two they have both, so that a text
-and an edit of it, which keeps three quarters, always have one kind in common.
-Neighbours of which one is below ``LONG`` and one above ``SHORT`` are compared by
-k-mers of bytes, which the longer has for this alone, not in its fingerprint.
-The sketch of a kind is its least ``SKETCH`` distinct anchor hashes.
+A text is a sequence of letter groups: runs of up to ``LETTERS`` characters of a
+word, one of a script without spaces.  A k-mer of ``K`` groups is an anchor if, of
+the s-mers inside it, the one with the least hash is the first or the last.
+Whether it is depends on nothing around it, so texts share the anchors of what
+they share, and any ``K - S`` k-mers that follow each other hold one.
+
+A fingerprint is all anchors of a text with their positions, in order, whatever
+the length of the text.  Without positions they tell how alike two texts are,
+with them what stands in the same place, or how far it has moved.
 """
 
 from __future__ import annotations
@@ -20,89 +18,77 @@ from pyspark.sql import functions as F
 
 from strata.llm.session import partitions, prepare, table
 
-K, S = 8, 4
+K, S = 5, 2
+#: s-mers in a k-mer.
 SPAN = K - S + 1
-SKETCH = 128
-SHORT, LONG = 400, 250
-WORD_K, WORD_S = 5, 2
-#: A character of a script without spaces, or up to 16 characters other than white space.
-WORD = r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[^\s\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]{1,16}+"
-_LOW = 0xFFFFFFFF
+LETTERS = 6
+_SINGLE = r"\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
+GROUP = rf"[{_SINGLE}]|[^\s{_SINGLE}]{{1,{LETTERS}}}+"
+_LOW, _ALL = 0xFFFFFFFF, 1 << 30
 
 
-def _none() -> Column:
-    return F.array().cast("array<bigint>")
-
-
-def _least(hashes: Column) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
-
-
-def anchors(data: Column, first: Column, last: Column) -> Column:
-    """Positions (from 1) of the anchors of binary ``data`` that start at ``first`` to ``last``."""
-    smers = F.transform(F.sequence(first, last + SPAN - 1), lambda i: F.xxhash64(F.substr(data, i, F.lit(S))))
-
-    def select(h: Column) -> Column:
-        edge = lambda i: F.least(F.get(h, i - first), F.get(h, i - first + (SPAN - 1)))
-        inner = lambda i: F.array_min(F.slice(h, i - first + 2, F.lit(SPAN - 2)))
-        return F.filter(F.sequence(first, last), lambda i: edge(i) <= inner(i))
-
-    return F.flatten(F.transform(F.array(smers), select))
-
-
-def byte_sketch(data: Column) -> Column:
-    """Sketch of a binary column by k-mers of bytes; fewer than K bytes are one anchor, no bytes have none."""
-    size = F.octet_length(data)
-    hashes = F.transform(anchors(data, F.lit(1), size - (K - 1)), lambda i: F.xxhash64(F.substr(data, i, F.lit(K))).bitwiseAND(F.lit(_LOW)))
-    return F.when(size >= K, _least(hashes)).when(size > 0, F.array(F.xxhash64(data).bitwiseAND(F.lit(_LOW)))).otherwise(_none())
+def groups(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(GROUP), F.lit(0))
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
 
 
-def word_anchors(tokens: Column) -> Column:
-    """Hashes of the anchors among the k-mers of an array of words."""
+def anchors(tokens: Column, first: Column | None = None) -> Column:
+    """Anchors of an array of groups, in order: position (from ``first`` on) in the high, hash in the low 32 bits."""
+    base = F.lit(0) if first is None else first
 
-    def pairs(h: Column) -> Column:
-        return F.zip_with(h, F.slice(h, 2, F.lit(1 << 30)), lambda x, y: F.xxhash64(x, y))
+    def smers(h: Column) -> Column:
+        return F.zip_with(h, F.slice(h, 2, F.lit(_ALL)), lambda x, y: F.xxhash64(x, y))
 
     def select(g: Column) -> Column:
-        inside = lambda x, i: F.least(x, F.get(g, i + 3)) <= F.least(F.get(g, i + 1), F.get(g, i + 2))
-        starts = F.filter(F.transform(F.slice(g, 1, F.size(g) - WORD_K + 1), lambda x, i: F.when(inside(x, i), F.xxhash64(x, F.get(g, i + 1), F.get(g, i + 2), F.get(g, i + 3)).bitwiseAND(F.lit(_LOW)))), lambda x: x.isNotNull())
-        return F.when(F.size(g) >= WORD_K, starts).otherwise(_none())
+        edge = lambda x, i: F.least(x, F.get(g, i + (SPAN - 1))) <= F.least(*(F.get(g, i + j) for j in range(1, SPAN - 1)))
+        packed = lambda x, i: F.shiftleft((base + i).cast("long"), 32).bitwiseOR(F.xxhash64(x, *(F.get(g, i + j) for j in range(1, SPAN))).bitwiseAND(F.lit(_LOW)))
+        found = F.transform(F.slice(g, 1, F.size(g) - (K - 1)), lambda x, i: F.when(edge(x, i), packed(x, i)))
+        return F.when(F.size(g) >= K, F.filter(found, lambda x: x.isNotNull())).otherwise(_none())
 
     hashes = F.transform(tokens, lambda w: F.xxhash64(w))
-    return F.flatten(F.transform(F.transform(F.array(hashes), pairs), select))
+    return F.flatten(F.transform(F.transform(F.array(hashes), smers), select))
 
 
-def word_sketch(tokens: Column) -> Column:
-    return _least(word_anchors(tokens))
+def whole(tokens: Column) -> Column:
+    """The one anchor of fewer than K groups: all of them.  No groups have none."""
+    return F.when(F.size(tokens) > 0, F.array(F.xxhash64(tokens).bitwiseAND(F.lit(_LOW)))).otherwise(_none())
 
 
-def _kind(fp: Column, i: int) -> Column:
-    return fp["bytes" if i == 0 else "words"]
+def as_text(fp: Column) -> Column:
+    """Nine hex digits for each anchor: how many groups after the one before it starts, and its hash."""
+    before = lambda i: F.coalesce(F.shiftleft(F.shiftright(F.get(fp, i - 1), 32), 32), F.lit(0))
+    return F.array_join(F.transform(fp, lambda x, i: F.lpad(F.hex(x - before(i)), 9, "0")), "")
 
 
-def as_text(fp: Column) -> Column:
-    """b: and w: before the hashes (8 hex digits each) of the kinds that the text has."""
-    digits = lambda kind: F.array_join(F.transform(kind, lambda x: F.lpad(F.hex(x), 8, "0")), "")
-    parts = [F.concat(F.lit(sign), digits(_kind(fp, i))) for i, sign in enumerate(("b:", "w:"))]
-    return F.concat_ws(" ", *parts)
+def hashes(fp: Column) -> Column:
+    """The distinct hashes of a fingerprint's anchors."""
+    return F.array_distinct(F.transform(fp, lambda x: x.bitwiseAND(F.lit(_LOW))))
 
 
-def _shared(a: Column, b: Column) -> Column:
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    j = F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.size(both)
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(2 * j / (1 + j))
+def likeness(a: Column, b: Column) -> Column:
+    """Dice coefficient of two sets of hashes; two texts without anchors are alike."""
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(a, b)) / both)
 
 
-def likeness(x: Column, y: Column) -> Column:
-    """Share of anchors in common, estimated from two sketches: of the least hashes of both together a
-    share J is in both; 2 J / (1 + J).  Two empty sketches are alike.  Texts without a kind in common
-    have no likeness by these (0)."""
-    (a, b), (c, d) = ((_kind(v, 0), _kind(v, 1)) for v in (x, y))
-    return F.when(a.isNotNull() & c.isNotNull(), _shared(a, c)).when(b.isNotNull() & d.isNotNull(), _shared(b, d)).otherwise(F.lit(0.0))
+def in_place(a: Column, b: Column) -> Column:
+    """Share of a fingerprint's anchors that another one has in the same place; 1 without anchors."""
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+
+
+def moved(a: Column, b: Column) -> Column:
+    """(at, to) of each of a fingerprint's anchors that another one has: its position, and the hash's first one there."""
+    kind = "map<bigint,int>"
+    first = F.aggregate(
+        F.array_distinct(F.transform(b, lambda x: x.bitwiseAND(F.lit(_LOW)))), F.array().cast("array<struct<key:bigint,value:int>>"),
+        lambda acc, h: F.concat(acc, F.array(F.struct(h.alias("key"), F.shiftright(F.element_at(F.filter(b, lambda y: y.bitwiseAND(F.lit(_LOW)) == h), 1), 32).cast("int").alias("value")))),
+    )
+    places = F.map_from_entries(first).cast(kind)
+    pairs = F.transform(a, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("at"), F.try_element_at(places, x.bitwiseAND(F.lit(_LOW))).alias("to")))
+    return F.filter(pairs, lambda p: p["to"].isNotNull())
 
 
 def _rank_bounds(ids: DataFrame, n: int) -> list[int]:
@@ -146,8 +132,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n_chars / 4) code points replaced by the
     first as many of the next document by ascending doc_id (after the last: the
-    first); null doc_ids come first, equal ones are taken by a hash of their text.  A null text
-    is empty; it has no anchors, and two of those are alike.
+    first); null doc_ids come first, equal ones are taken by a hash of their text, repeated rows in any order.  A null
+    text is empty; it has no anchors, and two of those are alike.  No rows give no rows; columns other than doc_id and
+    text are not looked at.
     """
     prepare(docs.sparkSession)
     order = Window.partitionBy("bucket").orderBy(F.expr("guest = 2"), F.col("guest"), F.col("doc_id").asc_nulls_first(), "tie")
@@ -156,36 +143,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     own, n = F.col("guest") == 0, F.col("n")
     rows = rows.withColumn("kept", F.substr(F.col("text"), F.lit(1), n - part))
     rows = rows.withColumn("edited", F.concat("kept", F.substr(F.coalesce("next", F.lit("")), F.lit(1), part)))
-    rows = rows.withColumn("m", F.char_length("edited")).withColumn("words", F.when(n >= LONG, words(F.col("text"))))
-    m = F.col("m")
-    beside = F.coalesce(F.least(F.lag("n").over(order), F.lead("n").over(order)) < LONG, F.lit(False))
-    rows = rows.withColumn("beside", beside)
-    rows = rows.select(
-        "doc_id", "bucket", "guest", "tie", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "m", "words",
-        F.when(own & (m >= LONG), words(F.col("edited"))).alias("edited_words"),
-        # words that the two texts begin with: all whole words of the part kept
-        F.when(own & (m >= LONG) & (n >= LONG), F.greatest(F.size(words(F.col("kept"))) - 1, F.lit(0))).alias("same"),
-        F.when((n <= SHORT) | F.col("beside"), byte_sketch(F.col("text").cast("binary"))).alias("any_bytes"),
-        F.when(own & (m <= SHORT), byte_sketch(F.col("edited").cast("binary"))).alias("efp_bytes"),
-    )
-    cut = F.greatest(F.coalesce("same", F.lit(0)) - (WORD_K - 2), F.lit(1))  # the first k-mer that is not of these words alone
     rows = rows.select(
-        "doc_id", "bucket", "guest", "tie", "n", "m", "edited_sha256", "any_bytes", "efp_bytes",
-        F.when(n >= LONG, word_sketch(F.slice("words", F.lit(1), F.coalesce("same", F.lit(0))))).alias("a"),
-        F.when(n >= LONG, word_sketch(F.slice("words", cut, F.lit(1 << 30)))).alias("b"),
-        F.when(own & (m >= LONG), word_sketch(F.slice("edited_words", cut, F.lit(1 << 30)))).alias("c"),
+        "doc_id", "bucket", "guest", "tie", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), groups(F.col("text")).alias("x"),
+        F.when(own, groups(F.col("edited"))).alias("y"),
+        # groups that both texts begin with: all whole ones of the part kept
+        F.greatest(F.size(groups(F.col("kept"))) - 1, F.lit(0)).alias("same"),
     )
+    cut = F.greatest(F.col("same") - (K - 2), F.lit(1))  # the first k-mer that is not of these groups alone
     rows = rows.select(
-        "*", F.struct(F.when(n <= SHORT, F.col("any_bytes")).alias("bytes"), F.when(n >= LONG, _least(F.concat("a", "b"))).alias("words")).alias("fp"),
-        F.struct(F.col("efp_bytes").alias("bytes"), F.when(m >= LONG, _least(F.concat(F.coalesce("a", _none()), "c"))).alias("words")).alias("efp"),
+        "doc_id", "bucket", "guest", "tie", "n", "edited_sha256", F.when(F.size("x") < K, whole(F.col("x"))).alias("short"), F.when(F.size("y") < K, whole(F.col("y"))).alias("edited_short"),
+        anchors(F.slice("x", F.lit(1), F.col("same"))).alias("a"), anchors(F.slice("x", cut, F.lit(_ALL)), cut - 1).alias("b"), F.when(own, anchors(F.slice("y", cut, F.lit(_ALL)), cut - 1)).alias("c"),
     )
-    after = [F.lead(c).over(order).alias(to) for c, to in (("fp", "nfp"), ("any_bytes", "next_bytes"), ("n", "next_n"))]
-    rows = rows.select("*", *after).where(own)
-    apart = (F.least("n", "next_n") < LONG) & (F.greatest("n", "next_n") > SHORT)
+    rows = rows.select("doc_id", "bucket", "guest", "tie", "n", "edited_sha256", F.coalesce("short", F.concat("a", "b")).alias("fp"), F.coalesce("edited_short", F.concat("a", "c")).alias("efp"))
+    rows = rows.withColumn("nfp", F.lead("fp").over(order)).where(own)
+    rows = rows.select("*", hashes(F.col("fp")).alias("h"), hashes(F.col("efp")).alias("eh"), hashes(F.coalesce("nfp", "fp")).alias("nh"))
     return rows.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("fp")).alias("fingerprint"),
-        as_text(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
-        F.when(apart, _shared(F.col("any_bytes"), F.col("next_bytes"))).otherwise(likeness(F.col("fp"), F.coalesce("nfp", "fp"))).alias("near_next"),
+        "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"),
+        likeness(F.col("h"), F.col("eh")).alias("near_edited"), likeness(F.col("h"), F.col("nh")).alias("near_next"), in_place(F.col("fp"), F.col("efp")).alias("edited_in_place"),
     )
 
 

@@ -17,7 +17,7 @@ def test_pipeline_is_its_stages_in_turn(spark):
     good = stages["quality"](spark, docs, SF).persist()
     assert good.columns == columns and ids(good) == ids(quality.score_quality(docs, read("labels")).where("predicted = 1"))
     single = stages["near_duplicates"](spark, good, SF).persist()
-    assert single.columns == columns and ids(single) == ids(neardup.near_duplicates(good).where("kept"))
+    assert single.columns == columns and ids(single) == ids(neardup.near_duplicates(good, neardup.STAGE_SHARE).where("kept"))
     clean = stages["decontamination"](spark, single, SF).persist()
     assert clean.columns == columns and ids(clean) == ids(decontaminate.decontaminate(single, read("benchmark")).where("NOT contaminated"))
     masked = stages["private_data"](spark, clean, SF).persist()

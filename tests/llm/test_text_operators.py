@@ -197,40 +197,81 @@ def test_masking(spark):
     assert pii.mask(docs.unionByName(docs)).count() == 6 and pii.mask(docs.limit(0)).count() == 0
 
 
-def test_fingerprints(corpus, nothing, spark):
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_anchors(text):
+    """(position, hash) of the closed syncmers of a text, one k-mer after the other."""
+    import regex
+    import xxhash
+
+    # white space as Java has it
+    tokens = regex.findall(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[^ \t\n\x0b\f\r\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]{1,6}+", text)
+    number = lambda x, seed: xxhash.xxh64_intdigest((x & ((1 << 64) - 1)).to_bytes(8, "little"), seed)
+    h = [xxhash.xxh64_intdigest(t.encode(), 42) for t in tokens]
+    if 0 < len(h) < 5:
+        seed = 42
+        for t in tokens:
+            seed = xxhash.xxh64_intdigest(t.encode(), seed)
+        return [(0, seed & 0xFFFFFFFF)]
+    smers = [number(y, number(x, 42)) for x, y in zip(h, h[1:])]
+    out = []
+    for i in range(len(h) - 4):
+        own = [signed(x) for x in smers[i : i + 4]]
+        if min(own[0], own[3]) <= min(own[1:3]):
+            seed = 42
+            for x in smers[i : i + 4]:
+                seed = number(x, seed)
+            out.append((i, seed & 0xFFFFFFFF))
+    return out
+
+
+def plain_text(found):
+    return "".join(f"{((i - (found[k - 1][0] if k else 0)) << 32) + h:09X}" for k, (i, h) in enumerate(found))
+
+
+def dice(a, b):
+    a, b = {h for _, h in a}, {h for _, h in b}
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_fingerprints_equal_plain_syncmers(corpus, nothing, spark):
     docs, rows = corpus
-    unique = docs.dropDuplicates(["doc_id"])
-    texts = sorted(dict(rows).items())
-    found = {r.doc_id: r for r in fingerprint.fingerprints(unique).collect()}
+    rng = random.Random(11)
+    fresh = lambda n: "".join(rng.choice("abcdefghijklmnop   ") for _ in range(n))
+    article = fresh(900)
+    texts = [t or "" for _, t in sorted(dict(rows).items())] + [article[:k] for k in (239, 240, 249, 250, 399, 400, 401)] + [article, fresh(300), "한국어 텍스트 漢字かな abc", "a b c d", "a b c d e", "\u00a0x\u2003y z", "é" * 40]
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, fp string, bucket string").repartition(3)
+    found = {r.doc_id: r for r in fingerprint.fingerprints(frame).collect()}
     assert len(found) == len(texts)
-    for k, (d, t) in enumerate(texts):
-        t, after = t or "", texts[(k + 1) % len(texts)][1] or ""
-        n = len(t) // 4
+    for k, t in enumerate(texts):
+        after, n = texts[(k + 1) % len(texts)], len(t) // 4
         edited = t[: len(t) - n] + after[:n]
-        r = found[d]
-        assert r.n_chars == len(t) and r.edited_sha256 == sha(edited)
-        assert 0 <= r.near_edited <= 1 and (len(set(t.split())) < 20 or r.near_edited > 0.4), (t, r.near_edited)
-    by_text = {}
-    for d, t in texts:
-        assert by_text.setdefault(t or "", found[d].fingerprint) == found[d].fingerprint
-    # the edited text's fingerprint is that of the edited text, as a document of its own
-    edits = [(k, (t or "")[: len(t or "") - len(t or "") // 4] + (texts[(k + 1) % len(texts)][1] or "")[: len(t or "") // 4]) for k, (_, t) in enumerate(texts)]
-    again = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(spark.createDataFrame(edits, "doc_id long, text string")).collect()}
-    assert all(again[k] == found[d].edited_fingerprint for k, (d, _) in enumerate(texts))
+        r, own, other, beyond = found[k], plain_anchors(t), plain_anchors(edited), plain_anchors(after)
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), sha(edited), plain_text(own), plain_text(other)), t[:80]
+        assert abs(r.near_edited - dice(own, other)) < 1e-9 and abs(r.near_next - dice(own, beyond)) < 1e-9
+        assert abs(r.edited_in_place - (len(set(own) & set(other)) / len(own) if own else 1)) < 1e-9
+        gaps = np.diff([i for i, _ in own])
+        assert not len(gaps) or gaps.max() <= fingerprint.K - fingerprint.S
+    near = [found[k].near_next for k in range(len(texts)) if texts[k] in [article[:x] for x in (239, 240, 249, 250, 399, 400)]]
+    assert min(near) > 0.7  # beginnings of the next text, whatever their length
     assert fingerprint.fingerprints(nothing).count() == 0
 
 
-def test_short_and_long_neighbours_are_compared(spark):
-    rng = random.Random(11)
-    fresh = lambda n: "".join(rng.choice("abcdefghijklmnop   ") for _ in range(n))
-    article, long = fresh(401), fresh(900)
-    texts = [article[:249], article, article[100:300], fresh(240), long, long[:240], " " * 240, " " * 500, "", fresh(450)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    grams = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
-    for r in fingerprint.fingerprints(docs).collect():
-        a, b = grams[r.doc_id], grams[(r.doc_id + 1) % len(texts)]
-        assert abs(r.near_next - (2 * len(a & b) / (len(a) + len(b)) if a or b else 1)) < 0.2, r.doc_id
-        assert ("b:" in r.fingerprint) == (len(texts[r.doc_id]) <= fingerprint.SHORT)
+def test_fingerprints_of_odd_ids(spark):
+    rows = [(None, "one two three four five six seven"), (None, None), (4, "x" * 90), (4, "x" * 90), (4, "y"), (7, "")]
+    found = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows) and sorted(str(r.doc_id) for r in found) == sorted(str(d) for d, _ in rows)
+    assert len({r.fingerprint for r in found if r.n_chars == 90}) == 1
+
+
+def test_anchors_that_moved(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, b = " ".join(words), " ".join(["new", "words", "here", *words])
+    frame = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprint.anchors(fingerprint.groups(F.col("a"))).alias("a"), fingerprint.anchors(fingerprint.groups(F.col("b"))).alias("b"))
+    pairs = frame.select(fingerprint.moved(F.col("a"), F.col("b")).alias("m"), F.size("a").alias("n"), fingerprint.in_place(F.col("a"), F.col("b")).alias("p")).first()
+    assert len(pairs.m) == pairs.n > 5 and {x.to - x.at for x in pairs.m} == {3} and pairs.p == 0
 
 
 def test_fingerprint_plan_is_native(corpus):

@@ -304,9 +304,7 @@ def test_passages_among_pieces_of_them(spark, piece):
         texts += [" ".join(fresh(30) + p + fresh(25)), " ".join(fresh(10) + edited + fresh(40))]
     want = brute_passages(texts)
     docs = spark.createDataFrame([*enumerate(texts), (None, None), (None, texts[-1]), (3, texts[3])], "doc_id long, text string")
-    found = {}
-    for r in passages.found_passages(docs).where("partner IS NOT NULL AND doc_id >= 0 AND partner >= 0").collect():
-        found[r.doc_id, r.partner] = {i for s in r.spans for i in range(s.start, s.end - 49)}
+    found = {(r.doc_id, r.partner) for r in passages.found_passages(docs).where("partner IS NOT NULL AND doc_id >= 0 AND partner >= 0").collect()}
     out = {r.doc_id: r for r in passages.repeated_passages(docs).collect()}
     linked = [(a, b) for a, b in want if out[a].class_id == out[b].class_id and out[a].n_passages]
     recall = len(linked) / len(want)

@@ -227,22 +227,6 @@ def test_shared_passages_are_found(corpus, nothing):
     assert passages.repeated_passages(nothing).count() == 0
 
 
-def test_named_runs_are_shared_by_whatever_shares_least_tokens():
-    rng = np.random.default_rng(3)
-    passage = rng.integers(1, 1 << 62, passages.LEAST, dtype=np.uint64)
-    for _ in range(50):
-        keys = []
-        for _ in range(2):
-            parts = [rng.integers(1, 1 << 62, rng.integers(0, 90), dtype=np.uint64) for _ in range(2)]
-            tokens = np.concatenate([parts[0], passage, parts[1]])
-            start = passages.named_runs(*passages.compact_windows(passages.mix(tokens), np.array([len(tokens)])))
-            keys.append({tuple(tokens[a : a + passages.NEEDED].tolist()) for a in start.tolist()})
-            assert [len(set(k)) for k in keys[-1]] == [passages.NEEDED] * len(keys[-1])
-            got = passages.runs_of(tokens, passages.NEEDED)
-            assert len(got) == len(tokens) - passages.NEEDED + 1 and len(set(got.tolist())) == len(got)
-        assert keys[0] & keys[1]
-
-
 def test_partial_quotes_of_lower_ids_hide_no_passage(spark):
     rng = random.Random(21)
     fresh = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(n))

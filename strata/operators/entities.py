@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,13 +42,15 @@ def claims(facts: DataFrame, rules: DataFrame, units: dict[str, str]) -> DataFra
     rows = facts.join(F.broadcast(rules), "name")
     status, raw = values.status_of(F.col("raw"), F.col("qualifier"))
     rows = rows.withColumn("status", status).withColumn("plain", raw)
-    of = lambda kind: [f for f, k in units.items() if k == kind]
-    number = F.coalesce(*[F.when(F.col("field").isin(of(u)), values.number_of(F.col("plain"), u, F.col("unit"))) for u in sorted(set(units.values()) - {"text", "date"})], F.lit(None).cast(values.INTERVAL))
+    kinds = F.try_element_at(F.from_json(F.lit(json.dumps(units)), "map<string,string>"), F.col("field"))
+    rows = rows.withColumn("kind", kinds)
     known = F.col("status").isin("known", "approximate")
-    odd = F.col("field").isin(of("text") + of("date")) | F.coalesce(F.lower("qualifier"), F.lit("")).isin("", "value", "range") | (F.col("status") == "approximate")
-    rows = rows.withColumn("number", F.when(known & odd, number))
-    rows = rows.withColumn("date", F.when(known & F.col("field").isin(of("date")), values.dates_of(F.col("plain"))))
-    rows = rows.withColumn("text", F.when(known & F.col("field").isin(of("text")), F.lower(F.regexp_replace("plain", r"\s+", " "))))
+    odd = F.coalesce(F.lower("qualifier"), F.lit("")).isin("", "value", "range") | (F.col("status") == "approximate")
+    # a quantity is parsed once, whatever units there are, and then asked for its field's
+    found = values.interval_of(values.quantity(F.col("plain"), F.col("unit")), F.col("kind"), F.col("field").isin(*values.UNITS_AT_BOTH_ENDS))
+    rows = rows.withColumn("number", F.when(known & odd & ~F.col("kind").isin("text", "date"), found))
+    rows = rows.withColumn("date", F.when(known & (F.col("kind") == "date"), values.dates_of(F.col("plain"))))
+    rows = rows.withColumn("text", F.when(known & (F.col("kind") == "text"), F.trim(F.regexp_replace("plain", r"\s+", " "))))
     parsed = F.col("number").isNotNull() | F.col("date").isNotNull() | F.col("text").isNotNull()
     rows = rows.withColumn("status", F.when(F.col("status") == "unknown", "unknown").when(parsed, F.col("status")).otherwise("unparsed"))
     claim = F.substr(F.sha2(F.concat_ws("\n", "entity", "field", F.col("position").cast("string"), "raw"), 256), F.lit(1), F.lit(24))
@@ -62,10 +65,12 @@ def where(entities: DataFrame, found: DataFrame, expressions: list[str], kinds:
     for e in expressions:
         field, condition = values.predicate(e, kinds)
         by_field.setdefault(field, []).append(condition)
-    for field, conditions in by_field.items():
-        good = found.where((F.col("status") == "known") & (F.col("field") == field) & reduce(lambda a, b: a & b, conditions))
-        entities = entities.join(good.select("entity").distinct(), "entity", "left_semi")
-    return entities
+    # one pass over the claims of these fields, and one row an entity: a field holds if one of its claims does
+    met = [(F.col("field") == field) & reduce(lambda a, b: a & b, conditions) for field, conditions in by_field.items()]
+    claimed = found.where((F.col("status") == "known") & F.col("field").isin(*by_field))
+    good = claimed.groupBy("entity").agg(*[F.bool_or(F.coalesce(m, F.lit(False))).alias(f"f{i}") for i, m in enumerate(met)])
+    good = good.where(reduce(lambda a, b: a & b, [F.col(f"f{i}") for i in range(len(met))], F.lit(True))).select("entity")
+    return entities.join(good, "entity", "left_semi") if met else entities
 
 
 def compare(entities: DataFrame, fields: DataFrame, found: DataFrame) -> DataFrame:

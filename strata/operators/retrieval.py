@@ -20,16 +20,27 @@ def small(frame: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, token, tf, length): counted within each text, so nothing is shuffled."""
+    """(doc, token, tf, length, head): counted within each text, so nothing is shuffled; head marks one row of each text.
+
+    Only where there are fewer partitions than tasks can run at once are texts dealt anew.
+    """
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(doc, text).mapInArrow(counted, f"doc {kind}, token string, tf int, length int")
+    rows, tasks = docs.select(doc, text), docs.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < tasks:
+        rows = rows.repartition(tasks)
+    return rows.mapInArrow(counted, f"doc {kind}, token string, tf int, length int, head boolean")
+
+
+def sizes(post: DataFrame) -> DataFrame:
+    """(n, average) of the texts of an index: one row, from one posting of each."""
+    return post.where("head").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
 
 
-def term_stats(post: DataFrame) -> DataFrame:
-    """(token, df, idf) over the whole corpus: filters never change them."""
-    n = post.select("doc").distinct().agg(F.count("*").alias("n"))
-    df = post.groupBy("token").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("token", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+def term_stats(post: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """(token, df, idf) over the whole corpus: filters never change them.  ``tokens``: those that are asked for."""
+    own = post.select("token") if tokens is None else post.select("token").join(small(tokens.select("token").distinct()), "token")
+    df = own.groupBy("token").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(sizes(post).select("n"))).select("token", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def query_terms(queries: DataFrame, query: str = "query", text: str = "text") -> DataFrame:
@@ -52,14 +63,14 @@ def bm25(post: DataFrame, terms: DataFrame, fuzzy: DataFrame | None = None, name
     ``fuzzy``: spellings; a misspelt name token only counts in documents of
     ``names``, at 0.65, and only where the exact one is absent.
     """
-    average = post.select("doc", "length").distinct().agg(F.avg("length").alias("average"))
-    stats = term_stats(post)
     norm = K1 * (1 - B + B * F.col("length") / F.col("average"))
     weight = F.col("idf") * (K1 + 1) * F.col("tf") / (F.col("tf") + norm)
     wanted = terms if fuzzy is None else terms.join(fuzzy, "term")
     if fuzzy is None:
         wanted = wanted.select("query", "term", F.col("term").alias("token"), F.lit(False).alias("fuzzy"))
-    hits = post.join(small(wanted), "token").join(stats, "token").crossJoin(F.broadcast(average))
+    # statistics go to the query's side, which is small: postings are joined once
+    wanted = wanted.join(term_stats(post, wanted), "token").crossJoin(F.broadcast(sizes(post).select("average")))
+    hits = post.join(small(wanted), "token")
     hits = hits.select("query", "term", "token", "doc", "fuzzy", (weight * F.when(F.col("fuzzy"), TYPO).otherwise(1.0)).alias("score"))
     if fuzzy is not None:
         if names is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.functions import values
+from strata.functions import lexical, values
 from strata.operators import entities as E
 from strata.plans.tables import read
 
@@ -59,7 +59,7 @@ SELECT entity, 'length' AS field, s || ' cm' AS raw, 'known' AS status, NULL::VA
 UNION ALL SELECT entity, 'power', praw, CASE p_type WHEN 'ECONOMY' THEN 'approximate' WHEN 'PROMO' THEN 'known' WHEN 'STANDARD' THEN 'known' ELSE 'unparsed' END, NULL,
   CASE p_type WHEN 'ECONOMY' THEN s * 1.0 WHEN 'STANDARD' THEN s * 1e6 END, CASE p_type WHEN 'PROMO' THEN s * 1e3 WHEN 'ECONOMY' THEN s * 1.0 WHEN 'STANDARD' THEN (s + 5) * 1e6 END, NULL, NULL FROM f
 UNION ALL SELECT entity, 'introduced', draw, 'known', NULL, NULL, NULL, dmin::VARCHAR, dmax::VARCHAR FROM f
-UNION ALL SELECT entity, 'manufacturer', p_brand, 'known', lower(p_brand), NULL, NULL, NULL, NULL FROM f"""
+UNION ALL SELECT entity, 'manufacturer', p_brand, 'known', p_brand, NULL, NULL, NULL, NULL FROM f"""
 
 
 def claims_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ def spec_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact specifications: each matched term of a query earns its share."""
     terms = values.specifications("Length: 12 cm; power: 12 - 17 MW; mass: 3 kg; Length: 0.12 m")
     wanted = spark.createDataFrame([(i, t[0], t[1], t[2], t[3]) for i, t in enumerate(terms)], "term int, label string, unit string, low double, high double")
-    label = F.lower(F.element_at(F.split("name", ": "), -1))
+    label = lexical.label_of(F.col("name"))
     c = part_claims(spark, sf_dir).where((F.col("status") == "known") & F.col("number").isNotNull()).withColumn("label", label)
     v = F.col("number")
     same = (F.col("number.unit") == F.col("unit")) & v["min_inclusive"] & v["max_inclusive"] & (values.compare(v["min"], F.col("low")) == 0) & (values.compare(v["max"], F.col("high")) == 0)

@@ -37,6 +37,12 @@ def test_subject_match(query, name, want):
     assert lexical.subject_match(query, [name]) is want
 
 
+def test_subjects_among_several_names():
+    assert lexical.subject_match("f-16 or leopard", ["leopard", "F 16"]) and lexical.subject_match("x «Leopard»", ["other", "leopard"])
+    assert not lexical.subject_match("leopard tank", ["leopard", ""]) and not lexical.subject_match('"" tank', [""]) and lexical.subject_match('the “a" «Leopard»', ["leopard"]) is False
+    assert lexical.subject_match('"no" "leopard"', ["leopard"])
+
+
 def test_older_matches():
     assert lexical.span_match("the leopard 2 tank", ["Leopard 2"])
     assert not lexical.span_match("leopard 2a4", ["Leopard 2"])
@@ -63,6 +69,20 @@ def test_numbers(spark, raw, unit, want):
     assert (None if found is None else tuple(found)[:4]) == want
 
 
+@pytest.mark.parametrize(
+    ("raw", "unit", "both", "want"),
+    [
+        ("10 kHz - 2 MHz", "Hz", True, (1e4, 2e6)), ("10 kHz - 2 MHz", "Hz", False, None), ("10 - 20 kHz", "Hz", True, (1e4, 2e4)), ("2 MHz - 10 kHz", "Hz", True, None),
+        ("5 m - 2 MHz", "Hz", True, None), ("3 ㎞", "m", False, (3000.0, 3000.0)), ("５ km", "m", False, (5000.0, 5000.0)), ("1\u202f000 m", "m", False, None), ("12\u00a0km", "m", False, (12000.0, 12000.0)),
+        ("1,20 m", "m", False, None), ("1,200,300 m", "m", False, (1200300.0, 1200300.0)), ("1.5e3 m", "m", False, (1500.0, 1500.0)), ("-5 m", "m", False, None), ("5 m 3", "m", False, None),
+        ("3…5 km", "m", False, (3000.0, 5000.0)), ("3...5 km", "m", False, (3000.0, 5000.0)), ("up to", "m", False, None), ("up to5 m", "m", False, None), (".5 m", "m", False, (0.5, 0.5)), ("3 − 5 km", "m", False, (3000.0, 5000.0)),
+    ],
+)
+def test_quantities(spark, raw, unit, both, want):
+    found = results(column(spark, [raw]), values.number_of(F.col("x"), unit, both_units=both))[0]
+    assert (None if found is None else (found["min"], found["max"])) == want
+
+
 def test_unit_hint(spark):
     rows = column(spark, ["5", "5 km", "5 m"])
     assert [r and r["min"] for r in results(rows, values.number_of(F.col("x"), "m", F.lit("km")))] == [5000.0, 5000.0, None]

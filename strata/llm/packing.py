@@ -281,11 +281,13 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for size, n in sizes.groupBy("length").agg(F.sum("n")).collect():  # at most one row for each length
         counts[size] = n
     places = Places(solve(counts, capacity), capacity)
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n")).select("chunk", "length", "before")
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n"))
+    # names of their own: columns that both sides inherit are taken for one and dropped
+    before = before.select(F.col("chunk").alias("part"), F.col("length").alias("size"), "before")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(rows: pa.Table, offsets: pa.Table) -> pa.Table:
-        first = dict(zip(offsets["length"].to_pylist(), offsets["before"].to_pylist()))
+        first = dict(zip(offsets["size"].to_pylist(), offsets["before"].to_pylist()))
         rows = rows.sort_by("uid")
         size = rows["length"].to_numpy()
         order = np.argsort(size, kind="stable")
@@ -295,7 +297,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence[at], offset[at] = places(kind, first[kind] + np.arange(len(at)))
         return rows.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    return found.groupBy("chunk").cogroup(before.groupBy("chunk")).applyInArrow(place, PLACED)
+    return found.groupBy("chunk").cogroup(before.groupBy("part")).applyInArrow(place, PLACED)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

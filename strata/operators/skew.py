@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a key from which on it is dealt over several tasks, and the most such keys there may be.
-HOT, MOST_HOT = 1000, 1_000_000
+HOT, MOST_HOT = 10_000, 1_000_000
 #: Parts over which rows without a key are dealt: they find no partner anywhere.
 _NOWHERE = 1 << 16
 
@@ -25,9 +25,11 @@ def spread_join(many: DataFrame, one: DataFrame, on: str, size: str, total: int,
     ``one``'s column ``size`` says how many rows of ``many`` have the key, ``total`` how many rows that is in all
     (an upper bound will do).  Keys with more than ``max(HOT, total / MOST_HOT)`` rows are dealt over as many tasks
     as it takes, and their row of ``one`` is repeated.  There are at most MOST_HOT of those, so they are broadcast.
-    Rows without a key have no partner and are dealt evenly.
+    Rows without a key have no partner and are dealt evenly.  Without such keys this is a plain join.
     """
     limit = max(HOT, total // MOST_HOT)
+    if total <= limit or (how == "inner" and one.where(F.col(size) > limit).isEmpty()):
+        return many.join(one.drop(size), on, how)
     hot = F.broadcast(one.where(F.col(size) > limit).select(on, F.ceil(F.col(size) / limit).cast("int").alias("_copies")))
     rest = F.xxhash64(*many.columns)
     salt = F.when(F.col(on).isNull(), F.pmod(rest, F.lit(_NOWHERE))).when(F.col("_copies").isNull(), F.lit(0)).otherwise(F.pmod(rest, F.col("_copies")))

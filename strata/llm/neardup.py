@@ -294,17 +294,15 @@ def keep_one_of_each(docs: DataFrame, share: tuple[int, int] = STAGE_SHARE) -> D
     text has the least digest, of rows with the same doc_id and text any one.  Null and empty texts and those without words
     are linked with nothing: of each doc_id one of them stays.
     """
-    rows = _labelled(docs, share, digests=True).checkpoint()
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    # rows with words: the least of the component; others stand for themselves
-    stay = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(place).alias("p")).select("p.doc_id", "p.digest")
-    stay = stay.unionByName(rows.where("component IS NULL").select("doc_id", "digest").distinct())
-    count = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
-    stay = stay.join(count, stay["doc_id"].eqNullSafe(count["doc_id"]) & (stay["digest"] == count["digest"])).select(stay["doc_id"].alias("i"), stay["digest"].alias("d"), "n").checkpoint()
-    names = [free_name(docs, n) for n in ("doc", "digest", "n")]
+    rows = _labelled(docs, share, digests=True).groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
+    # of a component the least; a text without words stands for itself
+    itself = [F.when(F.col("component").isNull(), F.col(c)).alias(f"own_{c}") for c in ("doc_id", "digest")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")).alias("p")
+    stay = rows.groupBy("component", *itself).agg(first).select(F.col("p.doc_id").alias("i"), F.col("p.digest").alias("d"), F.col("p.n").alias("n")).checkpoint()
+    names = [free_name(docs, n) for n in ("stay_doc", "text_digest", "stay_n", "stay_digest")]
     keyed = docs.withColumn(names[1], text_digest("text"))
-    found = stay.select(*(F.col(c).alias(n) for c, n in zip(("i", "d", "n"), (names[0], "_stay_digest", names[2]))))
-    kept = keyed.join(found, keyed["doc_id"].cast("long").eqNullSafe(found[names[0]]) & (keyed[names[1]] == found["_stay_digest"]))
+    found = stay.select(*(F.col(c).alias(n) for c, n in zip(("i", "d", "n"), (names[0], names[3], names[2]))))
+    kept = keyed.join(found, keyed["doc_id"].cast("long").eqNullSafe(found[names[0]]) & (keyed[names[1]] == found[names[3]]))
     if not stay.where("n > 1").isEmpty():
         once, more = kept.where(F.col(names[2]) == 1), kept.where(F.col(names[2]) > 1)
         kept = once.unionByName(more.dropDuplicates([names[0], names[1]]))

@@ -93,9 +93,11 @@ def test_words_that_polynomials_confuse_have_different_hashes():
         assert len(set(Words(*flat(pa.array(texts)), table).hash.tolist())) == len(texts)
 
 
-def test_spread_join_equals_a_plain_join(spark):
+def test_spread_join_equals_a_plain_join(spark, monkeypatch):
+    from strata.operators import skew
     from strata.operators.skew import spread_join
 
+    monkeypatch.setattr(skew, "HOT", 500)
     many = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(5000)] + [(None, i) for i in range(1500)], "k long, v long")
     one = spark.createDataFrame([(0, 2500, "hot"), (2, 1, "two"), (-1, 7, "none")], "k long, size long, w string")
     for how in ("inner", "left"):
@@ -116,7 +118,8 @@ def test_estimates_are_close():
         assert abs(near - true) < 0.2
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr("strata.operators.skew.HOT", 500)
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 6), (100, 3)] + [(1000, i) for i in range(1001, 4000)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found[100] == 1 and found[5] == 4 and found[8] == 6 and all(found[i] == 1000 for i in range(1000, 4000)) and 9 not in found

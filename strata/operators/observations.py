@@ -11,14 +11,23 @@ SYMMETRIC = ("equivalent", "related_system")
 
 
 def registered(candidates: DataFrame) -> DataFrame:
-    """One record a medium: references united, and the state that the candidates leave.
+    """One record a medium: references united, and the state that its occurrences leave.
 
-    candidates: id, state (pending, saved, failed, excluded), entity, evidence, caption.  What is
-    saved stays saved; else a failure counts before an exclusion, and that before waiting.
+    candidates: id, state (saved, failed, pending, excluded, unassociated), entity, evidence, caption, and of each
+    occurrence associated (whether it belongs to its entity) and exclusion (a reason, or null).  What is saved stays
+    saved.  An occurrence that belongs and is not excluded makes a medium wait, unless it has failed; without one,
+    a reason excludes it; without reason or reference it is unassociated.
     """
-    has = lambda s: F.max(F.when(F.col("state") == s, 1).otherwise(0)) == 1
-    state = F.when(has("saved"), "saved").when(has("failed"), "failed").when(has("excluded"), "excluded").otherwise("pending")
-    return candidates.groupBy("id").agg(state.alias("state"), F.array_sort(F.collect_set(F.struct("entity", "evidence", "caption"))).alias("references"))
+    has = lambda s: F.coalesce(F.bool_or(F.col("state") == s), F.lit(False))
+    good = F.coalesce(F.bool_or(F.col("associated") & F.col("exclusion").isNull()), F.lit(False))
+    reasons, references = F.count("exclusion"), F.count("entity")
+    waiting = F.when(has("failed"), "failed").otherwise("pending")
+    state = (
+        F.when(has("saved"), "saved").when(good, waiting).when(reasons > 0, "excluded").when(references == 0, "unassociated")
+        .when(has("failed") | has("pending"), waiting).when(has("excluded"), "excluded").otherwise("unassociated")
+    )
+    united = F.array_sort(F.collect_set(F.when(F.col("entity").isNotNull(), F.struct("entity", "evidence", "caption"))))
+    return candidates.groupBy("id").agg(state.alias("state"), united.alias("references"), F.array_join(F.array_sort(F.collect_set("exclusion")), "; ").alias("error"))
 
 
 def eligible(references: Column, occurrences: Column) -> Column:

@@ -35,9 +35,15 @@ def test_strict_json(spark):
 
 
 def test_register_and_captions(spark):
-    rows = spark.createDataFrame([("m", "pending", "e", "v", "c"), ("m", "saved", "e", "v", "c"), ("n", "failed", "e", "v", None), ("n", "excluded", "f", "v", " ")], "id string, state string, entity string, evidence string, caption string")
+    rows = [
+        ("m", "pending", "e", "v", "c", True, None), ("m", "saved", "e", "v", "c", True, None), ("n", "failed", "e", "v", None, True, None), ("n", "excluded", "f", "v", " ", False, "icon"),
+        ("o", "excluded", "e", "v", "c", True, "icon"), ("o", "excluded", "e", "w", "c", True, None), ("p", "pending", "e", "v", "c", True, "small"), ("p", "pending", "e", "w", "c", False, "icon"),
+        ("q", "pending", None, None, None, False, None), ("r", "pending", "e", "v", "c", False, None),
+    ]
+    rows = spark.createDataFrame(rows, "id string, state string, entity string, evidence string, caption string, associated boolean, exclusion string")
     found = {r.id: r for r in O.registered(rows).collect()}
-    assert found["m"].state == "saved" and len(found["m"].references) == 1 and found["n"].state == "failed" and len(found["n"].references) == 2
+    assert {k: r.state for k, r in found.items()} == {"m": "saved", "n": "failed", "o": "pending", "p": "excluded", "q": "unassociated", "r": "pending"}
+    assert len(found["m"].references) == 1 and len(found["n"].references) == 2 and found["q"].references == [] and found["p"].error == "icon; small"
     refs = spark.createDataFrame([("e", "v", "A  b", "z"), ("e", "v", "A b", "y"), ("e", "v", " ", "x")], "entity string, evidence string, caption string, media string")
     assert [tuple(r) for r in O.captions(refs).collect()] == [("e", "v", "A b", "y")]
 

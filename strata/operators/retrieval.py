@@ -20,7 +20,8 @@ def small(frame: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, token, tf, length, head): counted within each text, so nothing is shuffled; head marks one row of each text.
+    """(doc, token, tf, length, squares, head): counted within each text, so nothing is shuffled; squares is the sum of
+    its squared counts, head marks one row of each text.
 
     Only where there are fewer partitions than tasks can run at once are texts dealt anew.
     """
@@ -28,7 +29,7 @@ def postings(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame
     rows, tasks = docs.select(doc, text), docs.sparkSession.sparkContext.defaultParallelism
     if rows.rdd.getNumPartitions() < tasks:
         rows = rows.repartition(tasks)
-    return rows.mapInArrow(counted, f"doc {kind}, token string, tf int, length int, head boolean")
+    return rows.mapInArrow(counted, f"doc {kind}, token string, tf int, length int, squares long, head boolean")
 
 
 def sizes(post: DataFrame) -> DataFrame:
@@ -68,8 +69,8 @@ def bm25(post: DataFrame, terms: DataFrame, fuzzy: DataFrame | None = None, name
     wanted = terms if fuzzy is None else terms.join(fuzzy, "term")
     if fuzzy is None:
         wanted = wanted.select("query", "term", F.col("term").alias("token"), F.lit(False).alias("fuzzy"))
-    # statistics go to the query's side, which is small: postings are joined once
-    wanted = wanted.join(term_stats(post, wanted), "token").crossJoin(F.broadcast(sizes(post).select("average")))
+    # statistics go to the query's side, once, and that is counted and joined as it is stored: postings are read for them and for the hits
+    wanted = wanted.join(term_stats(post, wanted), "token").crossJoin(F.broadcast(sizes(post).select("average"))).checkpoint()
     hits = post.join(small(wanted), "token")
     hits = hits.select("query", "term", "token", "doc", "fuzzy", (weight * F.when(F.col("fuzzy"), TYPO).otherwise(1.0)).alias("score"))
     if fuzzy is not None:

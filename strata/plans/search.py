@@ -49,10 +49,9 @@ def _lexical(post: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _semantic(post: DataFrame, queries: DataFrame) -> DataFrame:
     """Cosine of term-frequency vectors: the encoder that needs no model."""
-    norm = lambda x, by: x.groupBy(by).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("l"))
-    q = queries.select("query", "token", F.col("tf").alias("qtf")).join(norm(queries, "query").withColumnRenamed("l", "ql"), "query")
-    pairs = post.join(R.small(q), "token").groupBy("query", "doc").agg(F.sum(F.col("tf") * F.col("qtf")).alias("s"), F.first("ql").alias("ql"))
-    return pairs.join(norm(post, "doc"), "doc").select("query", "doc", F.round(F.col("s") / (F.col("ql") * F.col("l")), 6).alias("score"))
+    q = queries.select("query", "token", F.col("tf").alias("qtf"), F.col("squares").alias("q_squares"))
+    product = F.sum(F.col("tf") * F.col("qtf")) / (F.sqrt(F.first("q_squares")) * F.sqrt(F.first("squares")))
+    return post.join(R.small(q), "token").groupBy("query", "doc").agg(F.round(product, 6).alias("score"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

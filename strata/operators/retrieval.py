@@ -58,14 +58,28 @@ def spellings(terms: DataFrame, names: DataFrame) -> DataFrame:
     return exact.select("term", F.col("term").alias("token"), F.lit(False).alias("fuzzy")).unionByName(near.select("term", "token", F.lit(True).alias("fuzzy")))
 
 
+def _weight() -> Column:
+    """BM25 of a posting: its tf and length, the corpus' idf and average."""
+    return F.col("idf") * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+
+
+def scores(post: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, doc, bm25, cosine) of all documents that share a term with a query: one join and one aggregate of the
+    postings for both.  ``queries``: postings of the queries (query, token, tf, squares); the cosine is that of counts."""
+    wanted = queries.select("query", "token", F.col("tf").alias("q_tf"), F.col("squares").alias("q_squares"))
+    wanted = wanted.join(term_stats(post, wanted), "token").crossJoin(F.broadcast(sizes(post).select("average"))).checkpoint()
+    cosine = F.sum(F.col("tf") * F.col("q_tf")) / (F.sqrt(F.first("q_squares")) * F.sqrt(F.first("squares")))
+    hits = post.join(small(wanted), "token").groupBy("query", "doc")
+    return hits.agg(F.round(F.sum(_weight()), 6).alias("bm25"), F.round(cosine, 6).alias("cosine"))
+
+
 def bm25(post: DataFrame, terms: DataFrame, fuzzy: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, terms, typo) of all documents with a term of the query.
 
     ``fuzzy``: spellings; a misspelt name token only counts in documents of
     ``names``, at 0.65, and only where the exact one is absent.
     """
-    norm = K1 * (1 - B + B * F.col("length") / F.col("average"))
-    weight = F.col("idf") * (K1 + 1) * F.col("tf") / (F.col("tf") + norm)
+    weight = _weight()
     wanted = terms if fuzzy is None else terms.join(fuzzy, "term")
     if fuzzy is None:
         wanted = wanted.select("query", "term", F.col("term").alias("token"), F.lit(False).alias("fuzzy"))
@@ -113,6 +127,13 @@ def fuse(semantic: DataFrame, lexical: DataFrame, constant: int = RANK_CONSTANT,
     return left.join(right, ["query", "doc"], "full_outer" if outer else "left").withColumn("score", share(w_s, "semantic_rank") + share(w_l, "lexical_rank"))
 
 
+def fuse_scores(rows: DataFrame, constant: int = RANK_CONSTANT, w_s: float = SEMANTIC_WEIGHT, w_l: float = LEXICAL_WEIGHT) -> DataFrame:
+    """The same of one frame (query, doc, cosine, bm25) that holds the pool; bm25 is null where no term was found."""
+    place = lambda by: F.row_number().over(Window.partitionBy("query").orderBy(F.col(by).desc_nulls_last(), "doc"))
+    rows = rows.withColumn("semantic_rank", place("cosine")).withColumn("lexical_rank", F.when(F.col("bm25").isNotNull(), place("bm25")))
+    return rows.withColumn("score", w_s / (constant + F.col("semantic_rank")) + F.coalesce(w_l / (constant + F.col("lexical_rank")), F.lit(0.0)))
+
+
 def with_name_override(rows: DataFrame, matched: Column) -> DataFrame:
     """A name match comes first, at 2 and the cosine."""
     return rows.withColumn("name_match", matched).withColumn("score", F.when(F.col("name_match"), 2 + clamp(F.col("cosine"))).otherwise(F.col("score")))

@@ -47,13 +47,6 @@ def _lexical(post: DataFrame, terms: DataFrame) -> DataFrame:
     return R.bm25(post, terms).select("query", "doc", F.round("score", 6).alias("score"))
 
 
-def _semantic(post: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of term-frequency vectors: the encoder that needs no model."""
-    q = queries.select("query", "token", F.col("tf").alias("qtf"), F.col("squares").alias("q_squares"))
-    product = F.sum(F.col("tf") * F.col("qtf")) / (F.sqrt(F.first("q_squares")) * F.sqrt(F.first("squares")))
-    return post.join(R.small(q), "token").groupBy("query", "doc").agg(F.round(product, 6).alias("score"))
-
-
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     post, terms, _ = _index(spark, sf_dir)
     hits = R.top(_lexical(post, terms), DEPTH, "query", F.col("score").desc(), F.col("doc"))
@@ -72,8 +65,8 @@ TERM_STATS = f"WITH {SQL_INDEX} SELECT token, df, round(idf, 6) AS idf FROM df"
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post, terms, queries = _index(spark, sf_dir)
-    fused = R.fuse(_semantic(post, queries), _lexical(post, terms)).withColumn("score", F.round("score", 9))
+    post, _, queries = _index(spark, sf_dir)
+    fused = R.fuse_scores(R.scores(post, queries)).withColumn("score", F.round("score", 9))
     out = R.top(fused, DEPTH, "query", F.col("score").desc(), F.col("doc"))
     return out.select(F.col("query").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("doc").alias("doc_id"), F.col("semantic_rank").cast("long").alias("semantic_rank"), F.col("lexical_rank").cast("long").alias("lexical_rank"), "score")
 
@@ -91,9 +84,9 @@ RRF_FUSION = f"WITH {SQL_INDEX}, {_fused_sql('true')}"
 
 def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only English documents are ranked; idf is that of all documents."""
-    post, terms, queries = _index(spark, sf_dir)
+    post, _, queries = _index(spark, sf_dir)
     pool = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"))
-    fused = R.fuse(_semantic(post, queries).join(pool, "doc", "left_semi"), _lexical(post, terms).join(pool, "doc", "left_semi")).withColumn("score", F.round("score", 9))
+    fused = R.fuse_scores(R.scores(post, queries).join(pool, "doc", "left_semi")).withColumn("score", F.round("score", 9))
     out = R.top(fused, DEPTH, "query", F.col("score").desc(), F.col("doc"))
     return out.select(F.col("query").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("doc").alias("doc_id"), F.col("semantic_rank").cast("long").alias("semantic_rank"), F.col("lexical_rank").cast("long").alias("lexical_rank"), "score")
 
@@ -103,8 +96,8 @@ HYBRID_FILTERED = f"WITH {SQL_INDEX}, {_fused_sql('doc IN (SELECT doc_id FROM do
 
 def match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query is a candidate if its leader was found by terms too."""
-    post, terms, queries = _index(spark, sf_dir)
-    lead = R.top(R.fuse(_semantic(post, queries), _lexical(post, terms)).withColumn("score", F.round("score", 9)), 1, "query", F.col("score").desc(), F.col("doc"))
+    post, _, queries = _index(spark, sf_dir)
+    lead = R.top(R.fuse_scores(R.scores(post, queries)).withColumn("score", F.round("score", 9)), 1, "query", F.col("score").desc(), F.col("doc"))
     found = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query")).join(lead, "query", "left")
     return found.select(F.col("query").alias("item_id"), F.when(F.col("lexical_rank").isNotNull(), "candidates").otherwise("no_supported_match").alias("match_status"))
 

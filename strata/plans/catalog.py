@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strata.plans.tables import checkpoints
 
-GROUPS = ("search", "hybrid", "records", "build", "evaluate", "provenance")
+GROUPS = ("search", "hybrid", "records", "build", "evaluate", "provenance", "integrity")
 
 
 def _registered() -> dict[str, tuple[Callable, str | None]]:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from strata.operators.skew import spread_join
 
+#: Edges that a task takes at least: of few edges, many shuffle partitions would only make many small files.
+EDGES = 50_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the least node reachable, for every node of the edge list (longs).
@@ -20,14 +23,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = mark(pairs)
     if not seen[0]:
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    few = lambda x: x.coalesce(4 + seen[0] // EDGES)  # noqa: E731 (edges never become more)
     while True:
+        pairs = few(pairs)
         # large star: neighbours above a node go to the least of its neighbours and itself
         both = pairs.unionByName(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("size")).select("v", F.least("v", "m").alias("m"), "size")
-        large = spread_join(both.where("u > v"), least, "v", "size", 2 * seen[0]).select(F.col("m").alias("v"), "u").where("u > v").distinct()
+        large = few(spread_join(both.where("u > v"), least, "v", "size", 2 * seen[0])).select(F.col("m").alias("v"), "u").where("u > v").distinct()
+        large = few(large).checkpoint()  # it is read three times
         # small star: neighbours below a node, and itself, go to the least of them
         lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
-        small = spread_join(large, lowest, "u", "size", 2 * seen[0]).select(F.col("m").alias("v"), F.explode(F.array("v", "u")).alias("u")).where("u > v").distinct().checkpoint()
+        small = few(spread_join(large, lowest, "u", "size", 2 * seen[0])).select(F.col("m").alias("v"), F.explode(F.array("v", "u")).alias("u")).where("u > v").distinct()
+        small = few(small).checkpoint()
         now = mark(small)
         if now == seen:
             break

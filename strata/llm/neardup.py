@@ -151,6 +151,15 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     return whole.select("node", "hub", "n", "m", "s", "t").mapInArrow(run, "node long, hub long, near double")
 
 
+def _to_least(pairs: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what (node, hub) connects: a node, and what else it meets, with the least it meets.
+
+    A node meets a hub for each band at most.  Nodes of a group mostly meet the same hubs, so few edges are left.
+    """
+    met = pairs.groupBy("node").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))
+    return met.select(F.col("hubs")[0].alias("a"), F.explode(F.concat(F.slice("hubs", 2, BUCKETS // ROWS), F.array("node"))).alias("b")).distinct()
+
+
 def clusters(nodes: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """(node, cluster) of the nodes that may be linked with another; linked nodes are in one cluster."""
     rows = nodes.select("node", F.explode(_bands()).alias("key"))
@@ -158,14 +167,14 @@ def clusters(nodes: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     for turn in range(ROUNDS):
         stars = _stars(rows, total)
         near = _estimated(stars.select("node", "hub").distinct(), nodes, total).checkpoint()
-        found = near.where(F.col("near") >= LOOSE).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        found = _to_least(near.where(F.col("near") >= LOOSE))
         edges = found if edges is None else edges.unionByName(found)
         left = near.where(F.col("near") < tight(share)).drop("near")
         rows = stars.join(left, ["node", "hub"]).select("node", "key").checkpoint()
         if rows.isEmpty():
             break
     else:
-        edges = edges.unionByName(_stars(rows, total).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+        edges = edges.unionByName(_to_least(_stars(rows, total)))
     return components(edges).withColumnRenamed("label", "cluster")
 
 

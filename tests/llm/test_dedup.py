@@ -126,6 +126,22 @@ def test_components(spark, monkeypatch):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_edges_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    rng = random.Random(17)
+    base, copies = [str(rng.random()) for _ in range(300)], []
+    for k in range(150):
+        copies.append(list(base))
+        for at in rng.sample(range(300), 6):
+            copies[-1][at] = f"edit{k}"
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(copies)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(neardup, "components", lambda edges: seen.append(edges.count()) or components(edges))
+    out = neardup.near_duplicates(docs).collect()
+    want = brute_components([(i, " ".join(w)) for i, w in enumerate(copies)])
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out) == want
+    assert seen[0] < 12 * 150, seen  # not one for each band
+
+
 def brute_repeats(rows, length):
     seen, out = set(), []
     for d, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):

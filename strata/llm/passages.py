@@ -1,9 +1,10 @@
 """Near-duplicate passages by compact windows.
 
-Tokens are word shingles.  For each of ``HASHES`` hash functions the Cartesian
-tree of a document's token hashes yields its compact windows (left, centre,
-right): every run of tokens inside that holds the centre has its min-hash there.
-Windows of at least ``LEAST`` tokens meet on their min-hash, aligned at it:
+Tokens are word shingles.  The Cartesian tree of a document's token hashes yields
+its compact windows (left, centre, right): every run of tokens inside that holds
+the centre has its min-hash there.  Near duplicates of ``LEAST`` tokens differ in
+one place, so they have a run of ``RUN`` tokens in common, and the min-hash of it.
+Windows of at least ``RUN`` tokens meet on their min-hash, aligned at it:
 
 1. Windows with the same tokens around the centre, as far as any run of ``LEAST``
    tokens with it reaches, are one class (128 bits tell classes apart).  Each repeats the
@@ -11,11 +12,13 @@ Windows of at least ``LEAST`` tokens meet on their min-hash, aligned at it:
 2. Of a min-hash with up to ``FEW`` classes all pairs of classes are compared.
 3. Of a min-hash with more, the intervals about the centre are joined: whatever is
    a near duplicate has ``BLOCKS`` blocks of words next to each other in common, all
-   or all but one.  Windows that agree on those, for some choice of them, are
-   compared with the first of those.  This grows with windows, not with pairs.
+   or all but one.  Of up to ``FEW`` windows that agree on those, for some choice of
+   them, all pairs are compared; of more, those that also agree on what is left
+   of the passage, for each way to place it and its edit, so that any two of them
+   are near duplicates: each with the first.  This grows with windows, not with pairs.
 
-Identical passages need no luck: of ``LEAST`` tokens in common the least hash is in
-common, and around it so are ``BLOCKS`` blocks.  All candidates but those of one
+A class stands for itself by its first window, and by the first of its second document
+where that of the first has the min-hash again.  All candidates but those of one
 class are verified on both texts.
 """
 
@@ -36,16 +39,19 @@ from strata.llm.text import SPACED, Words, _powers, mix, shingles
 
 SHINGLE, LEAST_WORDS = 5, 50
 LEAST = LEAST_WORDS - SHINGLE + 1
-HASHES = 3
 #: Matching tokens that two windows of LEAST tokens need for a Jaccard similarity of 0.8.
 NEEDED = -(-8 * 2 * LEAST // 18)
+#: Tokens of the longer part of such a window beside the one place where it differs.
+RUN = -(-NEEDED // 2)
 #: Tokens by which parts of a passage may be shifted against each other.
 DRIFT = 3
 #: Classes of a min-hash of which all pairs are compared.
 FEW = 5
 #: Blocks of SHINGLE words, each one token, that any LEAST_WORDS words hold wherever they begin.
 BLOCKS = LEAST_WORDS // SHINGLE - 1
-_SEEDS = np.random.default_rng(77).integers(1, 1 << 62, HASHES, dtype=np.uint64)
+#: Tokens beside a centre that choices of blocks, and what is left of a passage, reach.
+SIDE = SHINGLE * BLOCKS + 1
+_SEED = np.random.default_rng(77).integers(1, 1 << 62, dtype=np.uint64)
 _BITS = 21
 _LOW = np.uint64((1 << _BITS) - 1)
 _SLICE = 1 << 19
@@ -116,44 +122,132 @@ def arounds(tokens: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
 
 
 def blocks_of(tokens: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hashes of the blocks right and left of a centre, each also one token further off (side, further, block, window),
-    and how many tokens there are behind and before it (255 at most)."""
-    out = np.zeros((2, 2, BLOCKS, len(at)), np.uint16)
-    for side, sign in enumerate((1, -1)):
-        for further in (0, 1):
-            for k in range(BLOCKS):
-                there = at + sign * (SHINGLE * (k + 1) + further)
-                ok = (there >= begin) & (there < end)
-                out[side, further, k, ok] = (tokens[there[ok]] >> np.uint64(48)).astype(np.uint16)
+    """16 bits of the tokens from SIDE before a centre to SIDE behind it (offset, window), and how many tokens there are
+    behind and before it (255 at most)."""
+    out = np.zeros((2 * SIDE + 1, len(at)), np.uint16)
+    for k in range(2 * SIDE + 1):
+        there = at + k - SIDE
+        ok = (there >= begin) & (there < end)
+        out[k, ok] = (tokens[there[ok]] >> np.uint64(48)).astype(np.uint16)
     return out, np.minimum(end - 1 - at, 255).astype(np.uint8), np.minimum(at - begin, 255).astype(np.uint8)
 
 
-def but_one(blocks: np.ndarray, behind: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def but_one(around: np.ndarray, behind: np.ndarray, before: np.ndarray) -> Iterator[tuple]:
     """For each choice of BLOCKS blocks next to each other, the centre's among them, and of one or none to leave out:
-    the windows that have them, with a hash of the others.
+    the windows that have them, with a hash of the others, and the place (None: none is left out, and two windows
+    that agree are near duplicates).
 
     What is beyond the block left out may be a token further off, as where a word was put in.
     """
 
-    def part(rows: np.ndarray, side: int, further: int, first: int, stop: int) -> np.ndarray:
-        out = np.zeros(len(rows), np.uint64)
+    def part(side: int, further: int, first: int, stop: int) -> np.ndarray:
+        out = np.zeros(around.shape[1], np.uint64)
         for k in range(first, stop):
-            out += blocks[side, further, k, rows] * _FACTORS[side, k]
+            out += around[SIDE + (1, -1)[side] * (SHINGLE * (k + 1) + further)] * _FACTORS[side, k]
         return out
 
-    every = np.arange(blocks.shape[3])
+    room = (behind.astype(np.int64), before.astype(np.int64))
     for n_right in range(BLOCKS):
         n = (n_right, BLOCKS - 1 - n_right)
-        have = np.flatnonzero((behind >= SHINGLE * n[0]) & (before >= SHINGLE * n[1]))
-        yield have, part(have, 0, 0, 0, n[0]) + part(have, 1, 0, 0, n[1])
+        have = np.flatnonzero((room[0] >= SHINGLE * n[0]) & (room[1] >= SHINGLE * n[1]))
+        yield have, (part(0, 0, 0, n[0]) + part(1, 0, 0, n[1]))[have], None
         for side in (0, 1):
-            other = part(every, 1 - side, 0, 0, n[1 - side])
+            other = part(1 - side, 0, 0, n[1 - side])
             for gone in range(n[side]):
-                inner, near = other + part(every, side, 0, 0, gone), (0, 1) if gone + 1 < n[side] else (0,)
-                keys = np.stack([inner + part(every, side, further, gone + 1, n[side]) for further in near], axis=1)
-                reach = [SHINGLE * n[0], SHINGLE * n[1]]
-                have = np.stack([(behind >= reach[0] + further * (side == 0)) & (before >= reach[1] + further * (side == 1)) for further in near], axis=1).ravel()
-                yield np.repeat(every, len(near))[have], keys.ravel()[have]
+                inner, last = other + part(side, 0, 0, gone), gone + 1 == n[side]
+                found = []
+                for further in (0,) if last else (0, 1):
+                    reach = SHINGLE * gone if last else SHINGLE * n[side] + further
+                    found.append(np.flatnonzero((room[side] >= reach) & (room[1 - side] >= SHINGLE * n[1 - side])))
+                keys = [(inner + part(side, further, gone + 1, n[side]))[x] for further, x in enumerate(found)]
+                rows, further = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+                order = np.lexsort((further, rows))
+                yield rows[order], np.concatenate(keys)[order], (side, gone, n[side], n[1 - side], further[order])
+
+
+def whole(around: np.ndarray, behind: np.ndarray, before: np.ndarray, rows: np.ndarray, group: np.ndarray, place: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For windows that agree on all blocks but one (``group``), and each way to place a near duplicate and its edit:
+    the windows that have the tokens it needs, with a hash of those.  Two that agree there are near duplicates.
+
+    Beside the blocks, a passage has words at both edges, and such of the block left out as are before and behind the edit.
+    """
+    side, gone, n, n_other, further = place
+    sign, room = (1, -1)[side], ((behind, before)[side].astype(np.int64), (behind, before)[1 - side].astype(np.int64))
+    last = gone + 1 == n
+    base = mix(group.astype(np.uint64) + np.uint64(1))
+
+    def agreeing(rows: np.ndarray, base: np.ndarray, edge: int, *there: int) -> tuple[np.ndarray, np.ndarray]:
+        ok = (room[0][rows] >= max(there)) & (room[1][rows] >= edge)
+        rows, key = rows[ok], base[ok]
+        packed = around[SIDE - sign * edge, rows].astype(np.uint64)
+        for k, t in enumerate(there):
+            packed |= around[SIDE + sign * t, rows].astype(np.uint64) << np.uint64(16 * (k + 1))
+        return rows, mix(packed ^ key)
+
+    if last:  # without an edit
+        for e in range(SHINGLE + 1):
+            yield agreeing(rows, base, SHINGLE * n_other + e, SHINGLE * gone + SHINGLE - e)
+    near = further == 0
+    for inside in (SHINGLE - 1, SHINGLE):  # a word replaced; or put in, between what has it and what has not
+        edges = 2 * SHINGLE - 1 - inside
+        for g in range(inside + 1):
+            for e in range(edges + 1):
+                if last and edges - e + inside - g < SHINGLE:
+                    continue  # what is behind the edit holds no token
+                parts = []
+                for f in (0, 1) if inside == SHINGLE else (0,):
+                    own = near if last or f == 0 else ~near
+                    parts.append(agreeing(rows[own], base[own], SHINGLE * n_other + e, SHINGLE * gone + g, SHINGLE * (gone + 2) + f - inside + g, SHINGLE * n + f + edges - e))
+                found, key = (np.concatenate(c) for c in zip(*parts))
+                order = np.argsort(found, kind="stable")
+                yield found[order], key[order]
+
+
+def _sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the group of equal keys that each row is of, and the group's size."""
+    _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+    return group, size[group]
+
+
+def _all_pairs(group: np.ndarray, rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of different documents in groups of at most FEW ascending rows, the later one first."""
+    order = np.argsort(group, kind="stable")
+    group, rows = group[order], rows[order]
+    left, right = [rows[:0]], [rows[:0]]
+    for gap in range(1, FEW):
+        i = np.flatnonzero(group[:-gap] == group[gap:]) if len(rows) > gap else np.zeros(0, np.int64)
+        i = i[doc[rows[i]] != doc[rows[i + gap]]]
+        left.append(rows[i + gap])
+        right.append(rows[i])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def near_pairs(key: np.ndarray, doc: np.ndarray, around: np.ndarray, behind: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of windows of the same min-hash (ascending by document) that connect all near duplicates among them."""
+    codes, n_codes, n = [np.zeros(0, np.int64)], 0, len(key)
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal codes, n_codes
+        codes.append(np.unique(x * n + y))
+        n_codes += len(codes[-1])
+        if n_codes > (1 << 21) + 2 * len(codes[0]):
+            codes = [np.unique(np.concatenate(codes))]
+            n_codes = len(codes[0])
+
+    for rows, others, place in but_one(around, behind, before):
+        others = mix(key[rows] + others * _FACTORS[0, 0])
+        add(*_firsts(others, rows, doc))
+        if place is None:
+            continue
+        group, size = _sizes(others)
+        few = (size > 2) & (size <= FEW)
+        add(*_all_pairs(group[few], rows[few], doc))
+        more = size > FEW
+        if more.any():
+            for some, agreed in whole(around, behind, before, rows[more], group[more], (*place[:4], place[4][more])):
+                add(*_firsts(agreed, some, doc))
+    code = np.unique(np.concatenate(codes))
+    return code // max(n, 1), code % max(n, 1)
 
 
 def _partners(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,6 +272,18 @@ def _partners(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) ->
     return partner, first
 
 
+def _seconds(key: np.ndarray, doc: np.ndarray, partner: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The first windows of the second documents of classes whose first document has the min-hash again: what else it
+    has there can only be compared with those."""
+    own = np.flatnonzero(first | (partner < 0))
+    own = own[np.lexsort((doc[own], key[own]))]
+    again = np.zeros(len(own) + 1, bool)
+    again[1:-1] = (key[own][1:] == key[own][:-1]) & (doc[own][1:] == doc[own][:-1])
+    own = own[again[:-1] | again[1:]]
+    out = np.unique(partner[own[first[own] & (partner[own] >= 0)]])
+    return out[~first[out]]
+
+
 def _firsts(key: np.ndarray, rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For ascending rows (by document) with equal keys: (row, first row of another document among them)."""
     if not len(key):
@@ -238,15 +344,15 @@ def candidates(key: np.ndarray, around: np.ndarray, doc: np.ndarray, at: np.ndar
     same = np.flatnonzero(y >= 0)
     left, right = [same[:0]], [same[:0]]
     # one window for each class; all of them where a class is in one document only
-    own = np.flatnonzero(first | (y < 0))
+    alone = first | (y < 0)
+    own = np.concatenate([np.flatnonzero(alone), _seconds(key, doc, y, first)])
     own = own[np.lexsort((at[own], doc[own], key[own]))]
     head = np.flatnonzero(np.r_[True, key[own][1:] != key[own][:-1]]) if len(own) else own
-    size = np.diff(np.append(head, len(own)))
-    group = np.repeat(np.arange(len(head)), size)
-    few = size[group] <= FEW
-    for gap in range(1, FEW):
+    group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(own))))
+    few = np.bincount(group, alone[own], len(head))[group] <= FEW
+    for gap in range(1, 2 * FEW):
         i = np.flatnonzero(few[:-gap] & (group[:-gap] == group[gap:])) if len(own) > gap else np.zeros(0, np.int64)
-        i = i[doc[own[i]] != doc[own[i + gap]]]
+        i = i[(doc[own[i]] != doc[own[i + gap]]) & (around[own[i]] != around[own[i + gap]])]
         left.append(own[i + gap])
         right.append(own[i])
     many = own[~few]
@@ -299,19 +405,17 @@ def found_passages(docs: DataFrame) -> DataFrame:
         pack, number = Pack(group), group["pack"][0].as_py()
         tokens = Tokens(pack.data, pack.offsets)
         ends = tokens.begin[1:][np.diff(tokens.begin) > 0]
-        got, out = [], []
+        out: list[tuple] = []
         head = np.zeros(len(pack.ids), bool)
         head[pack.head] = True
-        for i in range(HASHES if len(tokens.all) else 0):
-            values = mix(tokens.all ^ _SEEDS[i])
-            _, centre, _ = compact_windows(values, ends)
-            row = np.searchsorted(tokens.begin, centre, "right") - 1
-            own = head[row]
-            centre, row = centre[own], row[own]
-            got.append((values[centre] + np.uint64(i), row, centre))
-        if not got:
+        if not len(tokens.all):
             return _table(out)
-        key, row, centre = (np.concatenate(c) for c in zip(*got))
+        values = mix(tokens.all ^ _SEED)
+        _, centre, _ = compact_windows(values, ends, RUN)
+        row = np.searchsorted(tokens.begin, centre, "right") - 1
+        own = head[row] & (np.diff(tokens.begin)[row] >= LEAST)
+        centre, row = centre[own], row[own]
+        key = values[centre]
         around = arounds(tokens.all, np.maximum(tokens.begin[row], centre - LEAST + 1), np.minimum(tokens.begin[row + 1], centre + LEAST))
         at = centre - tokens.begin[row]
         # A pack's windows of one class: those but the first are only compared with one of another document.
@@ -320,7 +424,7 @@ def found_passages(docs: DataFrame) -> DataFrame:
         if len(again):
             y = partner[again]
             out += _sure_rows(number, pack.ids[row[again]], pack.ids[row[y]], at[y] - at[again], *about_centre(at[again]))
-        keep = np.flatnonzero(first | (partner < 0))
+        keep = np.union1d(np.flatnonzero(first | (partner < 0)), _seconds(key, row, partner, first))
         to = (key[keep] % np.uint64(parts)).astype(np.int64)
         for x in _groups(to):
             k = keep[x]
@@ -385,7 +489,7 @@ def found_passages(docs: DataFrame) -> DataFrame:
                 row = np.searchsorted(wanted, doc)
                 begin = tokens.begin[row]
                 blocks, behind, before = blocks_of(tokens.all, begin + at, begin, tokens.begin[row + 1])
-                out.append((part, number, _BLOCKS, dump(key, doc, at, behind, before, *blocks.reshape(4 * BLOCKS, -1))))
+                out.append((part, number, _BLOCKS, dump(key, doc, at, behind, before, *blocks)))
         return _table(out)
 
     def agree(group: pa.Table) -> pa.Table:
@@ -400,13 +504,8 @@ def found_passages(docs: DataFrame) -> DataFrame:
             key, doc, at, behind, before, *blocks = (np.concatenate(c) for c in zip(*(x for _, x in got)))
             order = np.lexsort((at, doc))
             key, doc, at, pack = (c[order] for c in (key, doc, at, pack))
-            last = np.full(len(key), -1)
-            for rows, others in but_one(np.stack(blocks).reshape(2, 2, BLOCKS, -1)[:, :, :, order], behind[order], before[order]):
-                x, y = _firsts(mix(key[rows] + others * _FACTORS[0, 0]), rows, doc)
-                new = last[x] != y  # most choices name the same window
-                x, y = x[new], y[new]
-                last[x] = y
-                pairs.append((doc[x], doc[y], at[y] - at[x], pack[x], pack[y]))
+            x, y = near_pairs(key, doc, np.stack(blocks)[:, order], behind[order], before[order])
+            pairs.append((doc[x], doc[y], at[y] - at[x], pack[x], pack[y]))
         return _table(out + to_packs(pairs))
 
     def fetch(group: pa.Table, more: pa.Table) -> pa.Table:

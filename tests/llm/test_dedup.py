@@ -315,3 +315,36 @@ def test_passages_among_pieces_of_them(spark, piece):
     print(f"pieces of {piece} words: {len(want)} links, recall {recall:.3f}; {len(identical)} of identical passages")
     assert recall >= 0.95 and set(identical) <= set(linked) and len(want) >= 20
     assert all((a, b) in want for a, b in found)  # nothing else is linked
+
+
+def passage_words(row):
+    return {i for x in row.passages.split(",") if x for i in range(*map(int, x.split(":")))}
+
+
+def test_no_near_duplicate_passage_is_lost_among_many(spark):
+    """More than FEW classes for each min-hash: passages of about 50 words with edits and cut edges, against all windows."""
+    rng = random.Random(30)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(n)]
+    texts = []
+    for _ in range(10):
+        p = fresh(50)
+        for _ in range(24):
+            w, kind, at, put = list(p), rng.randrange(4), rng.randrange(1, 50), rng.choice(("put", "other"))
+            w[at : at + (kind in (1, 3))] = [put] * (kind in (1, 2))
+            w = w[rng.choice((0, 0, 1, 2, 4)) : len(w) - rng.choice((0, 0, 1, 3, 5))]
+            texts.append(" ".join(fresh(rng.choice((0, 3, 7))) + w + fresh(rng.choice((1, 4, 9)))))
+    want = brute_passages(texts)
+    out = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(want) > 300 and all(out[a].class_id == out[b].class_id for a, b in want)
+    for (a, _), windows in want.items():
+        assert {i + k for i in windows for k in (0, 49)} <= passage_words(out[a])
+
+
+def test_a_variant_in_the_first_document_of_a_class_is_compared_with_its_second(spark):
+    rng = random.Random(31)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(n)]
+    p, more = fresh(140), fresh(60)
+    variant = p[:70] + ["put"] + p[71:]
+    docs = spark.createDataFrame([(0, " ".join(p + more + variant)), (1, " ".join(p + more)), (2, " ".join(fresh(90)))], "doc_id long, text string")
+    out = {r.doc_id: r for r in passages.repeated_passages(docs).collect()}
+    assert passage_words(out[0]) == {*range(340)} and passage_words(out[1]) == {*range(200)} and not out[2].n_passages

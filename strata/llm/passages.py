@@ -203,6 +203,19 @@ def whole(around: np.ndarray, behind: np.ndarray, before: np.ndarray, rows: np.n
                 yield found[order], key[order]
 
 
+def spans_of(around: np.ndarray, behind: np.ndarray, before: np.ndarray, rows: np.ndarray, group: np.ndarray, place: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of all that ``whole`` looks at, and whether a window has all of it: windows with equal hashes have the same
+    near duplicates in their group."""
+    side, gone, n, n_other, further = place
+    sign, room = (1, -1)[side], ((behind, before)[side].astype(np.int64), (behind, before)[1 - side].astype(np.int64))
+    edge, far = SHINGLE * (n_other + 1), SHINGLE * (n + 1) + 1
+    full = (room[0][rows] >= far) & (room[1][rows] >= edge)
+    key = mix(group.astype(np.uint64) + np.uint64(1)) + further.astype(np.uint64)
+    for t in (-edge, *range(SHINGLE * gone + 1, SHINGLE * (gone + 2) + 2), far - 1, far):
+        key = mix(key ^ around[SIDE + sign * t, rows].astype(np.uint64))
+    return key, full
+
+
 def _sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of the group of equal keys that each row is of, and the group's size."""
     _, group, size = np.unique(key, return_inverse=True, return_counts=True)
@@ -243,6 +256,20 @@ def near_pairs(key: np.ndarray, doc: np.ndarray, around: np.ndarray, behind: np.
         few = (size > 2) & (size <= FEW)
         add(*_all_pairs(group[few], rows[few], doc))
         more = size > FEW
+        if not more.any():
+            continue
+        rows, group, place = rows[more], group[more], (*place[:4], place[4][more])
+        # of windows that are the same as far as this goes: the first, and the first of another document
+        same, full = spans_of(around, behind, before, rows, group, place)
+        x, y = _firsts(same[full], np.flatnonzero(full), doc[rows])
+        add(rows[x], rows[y])
+        keep = np.ones(len(rows), bool)
+        keep[x] = False
+        keep[y] = True
+        rows, group, place = rows[keep], group[keep], (*place[:4], place[4][keep])
+        group, size = _sizes(group)
+        add(*_all_pairs(group[size <= FEW], rows[size <= FEW], doc))
+        more = size > FEW
         if more.any():
             for some, agreed in whole(around, behind, before, rows[more], group[more], (*place[:4], place[4][more])):
                 add(*_firsts(agreed, some, doc))

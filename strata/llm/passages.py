@@ -9,13 +9,17 @@ Windows of at least ``RUN`` tokens meet on their min-hash, aligned at it:
 1. Windows with the same tokens around the centre, as far as any run of ``LEAST``
    tokens with it reaches, are one class (128 bits tell classes apart).  Each repeats the
    first window of another document in the class, all around.
-2. Of a min-hash with up to ``FEW`` classes all pairs of classes are compared.
-3. Of a min-hash with more, the intervals about the centre are joined: whatever is
-   a near duplicate has ``BLOCKS`` blocks of words next to each other in common, all
-   or all but one.  Of up to ``FEW`` windows that agree on those, for some choice of
-   them, all pairs are compared; of more, those that also agree on what is left
-   of the passage, for each way to place it and its edit, so that any two of them
-   are near duplicates: each with the first.  This grows with windows, not with pairs.
+2. Of a min-hash with up to ``FEW`` classes all pairs of classes are verified.
+3. Of a min-hash with more, what is about the centres is fetched.  Up to ``PAIRED`` pairs a
+   window, all are compared there: each window is verified with the two that cover most of
+   what is before and behind its centre (as what near duplicates cover holds the centre, they
+   cover all that any does), and documents are linked by a tree of these pairs.
+4. Beyond that, the intervals about the centre are joined: whatever is a near duplicate has
+   ``BLOCKS`` blocks of words next to each other in common, all or all but one.  Of up to
+   ``FEW`` windows that agree on those, for some choice of them, all pairs are verified; of
+   more, those that also agree on what is left of the passage, for each way to place it and
+   its edit, so that any two of them are near duplicates: each with the first.  This grows
+   with windows, not with pairs.
 
 A class stands for itself by its first window, and by the first of its second document
 where that of the first has the min-hash again.  All candidates but those of one
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.graph import components
 from strata.llm.session import packs_of, prepare, table, texts
-from strata.llm.suffix import _BASE, _FIRST_ID, _INVERSE, Pack, _runs, dump, load
+from strata.llm.suffix import _BASE, _FIRST_ID, _INVERSE, Pack, dump, load
 from strata.llm.text import SPACED, Words, _powers, mix, shingles
 
 SHINGLE, LEAST_WORDS = 5, 50
@@ -47,6 +51,8 @@ RUN = -(-NEEDED // 2)
 DRIFT = 3
 #: Classes of a min-hash of which all pairs are compared.
 FEW = 5
+#: Pairs a window up to which all windows of a min-hash are compared: about where joining them by blocks costs less.
+PAIRED = 1024
 #: Blocks of SHINGLE words, each one token, that any LEAST_WORDS words hold wherever they begin.
 BLOCKS = LEAST_WORDS // SHINGLE - 1
 #: Tokens beside a centre that choices of blocks, and what is left of a passage, reach.
@@ -55,6 +61,7 @@ _SEED = np.random.default_rng(77).integers(1, 1 << 62, dtype=np.uint64)
 _BITS = 21
 _LOW = np.uint64((1 << _BITS) - 1)
 _SLICE = 1 << 19
+_CHUNK = 1 << 13
 _FACTORS = np.random.default_rng(78).integers(0, 1 << 63, (2, BLOCKS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WINDOWS, _PAIRS, _WANTED, _BODY, _ASKED, _BLOCKS, _SURE = range(7)
 _ROWS = "at int, pack int, kind int, blob binary"
@@ -176,31 +183,35 @@ def whole(around: np.ndarray, behind: np.ndarray, before: np.ndarray, rows: np.n
     last = gone + 1 == n
     base = mix(group.astype(np.uint64) + np.uint64(1))
 
-    def agreeing(rows: np.ndarray, base: np.ndarray, edge: int, *there: int) -> tuple[np.ndarray, np.ndarray]:
-        ok = (room[0][rows] >= max(there)) & (room[1][rows] >= edge)
-        rows, key = rows[ok], base[ok]
-        packed = around[SIDE - sign * edge, rows].astype(np.uint64)
-        for k, t in enumerate(there):
-            packed |= around[SIDE + sign * t, rows].astype(np.uint64) << np.uint64(16 * (k + 1))
-        return rows, mix(packed ^ key)
+    def both(rows: np.ndarray, t: int | np.ndarray, u: int | np.ndarray) -> np.ndarray:
+        return around[SIDE + sign * t, rows].astype(np.uint64) | around[SIDE + sign * u, rows].astype(np.uint64) << np.uint64(16)
+
+    def agreeing(rows: np.ndarray, base: np.ndarray, edge: int, far: int | np.ndarray) -> tuple[np.ndarray, np.ndarray | slice]:
+        ok = (room[0][rows] >= far) & (room[1][rows] >= edge)
+        return mix(both(rows, -edge, far) ^ base), slice(None) if ok.all() else np.flatnonzero(ok)
 
     if last:  # without an edit
         for e in range(SHINGLE + 1):
-            yield agreeing(rows, base, SHINGLE * n_other + e, SHINGLE * gone + SHINGLE - e)
-    near = further == 0
+            key, have = agreeing(rows, base, SHINGLE * n_other + e, SHINGLE * gone + SHINGLE - e)
+            yield rows[have], key[have]
     for inside in (SHINGLE - 1, SHINGLE):  # a word replaced; or put in, between what has it and what has not
         edges = 2 * SHINGLE - 1 - inside
-        for g in range(inside + 1):
-            for e in range(edges + 1):
-                if last and edges - e + inside - g < SHINGLE:
-                    continue  # what is behind the edit holds no token
-                parts = []
-                for f in (0, 1) if inside == SHINGLE else (0,):
-                    own = near if last or f == 0 else ~near
-                    parts.append(agreeing(rows[own], base[own], SHINGLE * n_other + e, SHINGLE * gone + g, SHINGLE * (gone + 2) + f - inside + g, SHINGLE * n + f + edges - e))
-                found, key = (np.concatenate(c) for c in zip(*parts))
-                order = np.argsort(found, kind="stable")
-                yield found[order], key[order]
+        if inside < SHINGLE:
+            own = np.flatnonzero(further == 0)
+            on = further[own]
+        elif last:
+            own, on = np.repeat(np.arange(len(rows)), 2), np.tile([0, 1], len(rows))
+        else:
+            own, on = np.arange(len(rows)), further
+        of = rows[own]
+        about = [both(of, SHINGLE * gone + g, SHINGLE * (gone + 2) + on - inside + g) for g in range(inside + 1)]
+        about = [mix(x) for x in about]
+        for e in range(edges + 1):
+            key, have = agreeing(of, base[own], SHINGLE * n_other + e, SHINGLE * n + on + edges - e)
+            some, key = of[have], key[have]
+            for g in range(inside + 1):
+                if not last or edges - e + inside - g >= SHINGLE:  # else what is behind the edit holds no token
+                    yield some, key + about[g][have]
 
 
 def spans_of(around: np.ndarray, behind: np.ndarray, before: np.ndarray, rows: np.ndarray, group: np.ndarray, place: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -235,14 +246,152 @@ def _all_pairs(group: np.ndarray, rows: np.ndarray, doc: np.ndarray) -> tuple[np
     return np.concatenate(left), np.concatenate(right)
 
 
+def rooms(behind: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last run of LEAST tokens that holds a centre, counted from the one that ends there."""
+    return LEAST - 1 - np.minimum(before, LEAST - 1), np.minimum(behind, LEAST - 1)
+
+
+class Covers:
+    """Compares pairs of windows; its arrays are used again for each lot of them (new ones cost more than what is done)."""
+
+    def __init__(self, around: np.ndarray, behind: np.ndarray, before: np.ndarray, most: int):
+        self.around, (self.first, self.last) = around, rooms(behind, before)
+        self.tokens = np.empty(2 * len(around) * most, np.uint16)
+        self.bytes = np.empty(6 * len(around) * most, np.uint8)
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Which pairs have near duplicates that hold the centre, and the first and last of those runs (as of ``rooms``)
+        in x and in y; first > last: none.
+
+        Tokens a word further on or back count, as where one was put in.  What was compared so holds for a shift that
+        is DRIFT - 1 off, too.
+        """
+        n = len(x)
+        mine, other = self.tokens[: 2 * len(self.around) * n].reshape(2, -1, n)
+        same, back, further, *sums = self.bytes[: 6 * len(self.around) * n].reshape(6, -1, n)
+        np.take(self.around, x, axis=1, out=mine, mode="clip")
+        np.take(self.around, y, axis=1, out=other, mode="clip")
+        np.equal(mine, other, out=same.view(bool))
+        run = np.ones(n, np.uint8)
+        for sign in (1, -1):
+            on = np.ones(n, np.uint8)
+            for k in range(1, RUN):
+                on &= same[SIDE + sign * k]
+                run += on
+        back[:] = same
+        for one, two, a, b in ((mine, other, same, back), (other, mine, back, same)):
+            np.equal(one[:-1], two[1:], out=further[:-1].view(bool))
+            a[:-1] |= further[:-1]
+            b[1:] |= further[:-1]
+        out: list[np.ndarray] = []
+        at = np.arange(LEAST, dtype=np.uint8)[:, None]
+        for rows, found in ((x, same), (y, back)):
+            parts = sums[1:]
+            total, part, span, done = sums[0][:LEAST], found[SIDE + 1 - LEAST : SIDE + LEAST], 1, 0
+            total[:] = 0
+            while span <= LEAST:
+                if LEAST & span:
+                    total += part[done : done + LEAST]
+                    done += span
+                part, span = np.add(part[:-span], part[span:], out=parts[0][: len(part) - span]), 2 * span
+                parts.reverse()
+            good = np.greater_equal(total, NEEDED, out=total.view(bool)).view(np.uint8)
+            good &= at >= self.first[rows]
+            good &= at <= self.last[rows]
+            good &= run >= RUN
+            weight = parts[0][:LEAST]
+            out.append(LEAST - np.multiply(good, LEAST - at, out=weight).max(axis=0).astype(np.int64))
+            out.append(np.multiply(good, at + np.uint8(1), out=weight).max(axis=0).astype(np.int64) - 1)
+        near = np.flatnonzero((out[1] >= 0) | (out[3] >= 0))
+        return near, *(c[near] for c in out)
+
+
+def _tree(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of links of nodes, those that connect what ``label`` (of each node, its tree's least) has apart; they are put in."""
+    out = [np.zeros(0, np.int64)]
+    rest = np.flatnonzero(label[a] != label[b])
+    while len(rest):
+        p, q = label[a[rest]], label[b[rest]]
+        high, at = np.unique(np.maximum(p, q), return_index=True)
+        out.append(rest[at])
+        to = np.arange(len(label))
+        to[high] = np.minimum(p, q)[at]
+        while (to[to] != to).any():
+            to = to[to]
+        label[:] = to[label]
+        rest = rest[label[a[rest]] != label[b[rest]]]
+    return np.concatenate(out)
+
+
 def near_pairs(key: np.ndarray, doc: np.ndarray, around: np.ndarray, behind: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of windows of the same min-hash (ascending by document) that connect all near duplicates among them."""
+    """Pairs of windows of the same min-hash (ascending by document), the later first, that connect all documents with near
+    duplicates among them and cover all that those cover."""
+    n, around = len(key), np.ascontiguousarray(around)
+    order = np.argsort(key, kind="stable")
+    k, d = key[order], doc[order]
+    new = np.ones(n, bool)
+    new[1:] = k[1:] != k[:-1]
+    group, head = np.cumsum(new) - 1, np.flatnonzero(new)
+    new[1:] |= d[1:] != d[:-1]
+    begin = head[group]
+    pairs = np.maximum.accumulate(np.where(new, np.arange(n), 0)) - begin  # with the earlier windows of other documents
+    few = (np.bincount(group, pairs) <= PAIRED * np.bincount(group))[group]
+    many = np.sort(order[~few])
+    x, y = _by_blocks(key[many], doc[many], np.take(around, many, axis=1), behind[many], before[many])
+    left, right = [many[x]], [many[y]]
+    # of each window: the pair that covers most before it and the one that covers most behind it (span << 32 | partner)
+    none = np.iinfo(np.int64).max
+    best = np.full((2, n), none)
+    covers = Covers(around, behind, before, max(_CHUNK, int(pairs[few].max(initial=0))))
+    docs, node = np.unique(doc, return_inverse=True)
+    label, all_covered = np.arange(len(docs)), np.zeros(n, bool)
+    rows = np.flatnonzero(few & (pairs > 0))
+    total = np.cumsum(pairs[rows])
+    at = 0
+    while at < len(rows):
+        done = total[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(total, done + _CHUNK, "right")))
+        size = pairs[rows[at:stop]]
+        x = np.repeat(rows[at:stop], size)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) + begin[x]
+        x, y, at = order[x], order[y], stop
+        open_ = np.flatnonzero(~all_covered[x] | ~all_covered[y] | (label[node[x]] != label[node[y]]))
+        x, y = x[open_], y[open_]
+        near, low, high, low_y, high_y = covers(x, y)
+        x, y = x[near], y[near]
+        for own, other, a, b in ((x, y, low, high), (y, x, low_y, high_y)):
+            have = np.flatnonzero(b >= 0)
+            own, other, a, b = own[have], other[have], a[have], LEAST - b[have]
+            np.minimum.at(best[0], own, (a * 2 * LEAST + b) << 32 | other)
+            np.minimum.at(best[1], own, (b * 2 * LEAST + a) << 32 | other)
+        own = np.unique(np.concatenate([x, y]))
+        all_covered[own] = ((best[0, own] >> 32) // (2 * LEAST) == covers.first[own]) & ((best[1, own] >> 32) // (2 * LEAST) == LEAST - covers.last[own].astype(np.int64))
+        link = _tree(label, node[x], node[y])
+        left.append(x[link])
+        right.append(y[link])
+    for b in best:
+        own = np.flatnonzero(b != none)
+        left.append(own)
+        right.append(b[own] & 0xFFFFFFFF)
+    x, y = np.concatenate(left), np.concatenate(right)
+    later = doc[x] > doc[y]
+    code = np.unique(np.where(later, x, y) * n + np.where(later, y, x))
+    return code // max(n, 1), code % max(n, 1)
+
+
+def _by_blocks(key: np.ndarray, doc: np.ndarray, around: np.ndarray, behind: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs as of ``near_pairs``, in a number of steps that grows with windows."""
     codes, n_codes, n = [np.zeros(0, np.int64)], 0, len(key)
 
+    known = np.full(n, -1)
+
     def add(x: np.ndarray, y: np.ndarray) -> None:
         nonlocal codes, n_codes
-        codes.append(np.unique(x * n + y))
-        n_codes += len(codes[-1])
+        fresh = np.flatnonzero(known[x] != y)  # mostly the one before, again
+        x, y = x[fresh], y[fresh]
+        known[x] = y
+        codes.append(x * n + y)
+        n_codes += len(x)
         if n_codes > (1 << 21) + 2 * len(codes[0]):
             codes = [np.unique(np.concatenate(codes))]
             n_codes = len(codes[0])
@@ -255,7 +404,10 @@ def near_pairs(key: np.ndarray, doc: np.ndarray, around: np.ndarray, behind: np.
         group, size = _sizes(others)
         few = (size > 2) & (size <= FEW)
         add(*_all_pairs(group[few], rows[few], doc))
-        more = size > FEW
+        lowest = np.empty(group.max(initial=-1) + 1, doc.dtype)
+        highest = lowest.copy()
+        lowest[group[::-1]], highest[group] = doc[rows[::-1]], doc[rows]
+        more = (size > FEW) & (lowest != highest)[group]  # windows of one document alone need no partner
         if not more.any():
             continue
         rows, group, place = rows[more], group[more], (*place[:4], place[4][more])
@@ -315,12 +467,14 @@ def _firsts(key: np.ndarray, rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
     """For ascending rows (by document) with equal keys: (row, first row of another document among them)."""
     if not len(key):
         return rows, rows
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    new = np.r_[True, ~same]
-    keep = ~new  # rows of keys that others have too
-    keep[:-1] |= same
-    order, new = order[keep], new[keep]
+    # sorted with the row in the low bits, of which a well mixed key has enough
+    low = np.uint64((1 << len(key).bit_length()) - 1)
+    code = np.sort((key & ~low) | np.arange(len(key), dtype=np.uint64))
+    new, keep = np.ones(len(key), bool), np.zeros(len(key), bool)
+    np.greater(code[1:] ^ code[:-1], low, out=new[1:])
+    keep[1:] = ~new[1:]  # rows of keys that others have too
+    keep[:-1] |= keep[1:]
+    order, new = (code[keep] & low).astype(np.int64), new[keep]
     if not len(order):
         return rows[:0], rows[:0]
     group, head = np.cumsum(new) - 1, np.flatnonzero(new)
@@ -340,28 +494,38 @@ def about_centre(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at - (LEAST - 1), at + LEAST
 
 
-def matches(x: np.ndarray, y: np.ndarray, shift: int) -> list[tuple[int, int]]:
-    """Runs of tokens of ``x`` made of windows that are near duplicates of windows of ``y``, ``shift`` tokens on."""
-    if min(len(x), len(y)) < LEAST:
+def _near_runs(same: np.ndarray, at: int) -> list[tuple[int, int]]:
+    """Runs made of LEAST tokens of which NEEDED are the same; ``at``: where the first token stands."""
+    if len(same) < LEAST:
         return []
-    a, b = max(0, -shift - LEAST), min(len(x), len(y) - shift + LEAST)
-    if b - a < LEAST:
-        return []
-    same = np.zeros(b - a, bool)
-    for d in range(-DRIFT, DRIFT + 1):
-        lo, hi = max(a, -shift - d), min(b, len(y) - shift - d)
-        if lo < hi:
-            same[lo - a : hi - a] |= x[lo:hi] == y[lo + shift + d : hi + shift + d]
     total = np.concatenate([[0], np.cumsum(same)])
-    good = total[LEAST:] - total[:-LEAST] >= NEEDED
-    if not good.any():
+    good = np.flatnonzero(total[LEAST:] - total[:-LEAST] >= NEEDED)
+    if not len(good):
         return []
-    change = np.zeros(b - a + 1, np.int32)
-    at = np.flatnonzero(good)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + LEAST, -1)
-    first, size = _runs(np.cumsum(change[:-1]) > 0)
-    return [(a + int(f), a + int(f + n)) for f, n in zip(first, size)]
+    cut = np.flatnonzero(np.diff(good) > LEAST)
+    return list(zip((good[np.r_[0, cut + 1]] + at).tolist(), (good[np.r_[cut, len(good) - 1]] + (at + LEAST)).tolist()))
+
+
+def matches(x: np.ndarray, y: np.ndarray, shift: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Runs of tokens of ``x`` made of windows that are near duplicates of windows of ``y``, ``shift`` tokens on, and
+    such runs of ``y``; none where only one of them has any."""
+    if min(len(x), len(y)) < LEAST:
+        return [], []
+    a, b = max(0, -shift - LEAST), min(len(x), len(y) - shift + LEAST)
+    c, d = max(0, shift - LEAST), min(len(y), len(x) + shift + LEAST)
+    if min(b - a, d - c) < LEAST:
+        return [], []
+    one, two = np.zeros(b - a, bool), np.zeros(d - c, bool)
+    for drift in range(-DRIFT, DRIFT + 1):
+        to = shift + drift
+        lo, hi = max(a, -to), min(b, len(y) - to)
+        if lo < hi:
+            same = x[lo:hi] == y[lo + to : hi + to]
+            one[lo - a : hi - a] |= same
+            two[lo + to - c : hi + to - c] |= same
+    found = _near_runs(one, a)
+    back = _near_runs(two, c) if found else []
+    return (found, back) if back else ([], [])
 
 
 def candidates(key: np.ndarray, around: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -588,13 +752,9 @@ def found_passages(docs: DataFrame) -> DataFrame:
                     continue  # parts that are so little further off were compared with these
                 seen = (a, b, s)
                 second = mine[b] if b in mine else other[b]
-                found = matches(mine[a], second, s)
-                if found:
-                    # but for drift, the runs of the other text are these; where they would leave it, its own are sought
-                    inside = found[0][0] + s >= 0 and found[-1][1] + s <= len(second)
-                    back = [(p + s, q + s) for p, q in found] if inside else matches(second, mine[a], -s)
-                    spans += [(a, b, p, q) for p, q in found]
-                    spans += [(b, a, p, q) for p, q in back]
+                found, back = matches(mine[a], second, s)
+                spans += [(a, b, p, q) for p, q in found]
+                spans += [(b, a, p, q) for p, q in back]
         if spans:
             out.append(tuple(np.array(spans, np.int64).T))
         doc, partner, low, high = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 4

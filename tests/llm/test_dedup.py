@@ -348,3 +348,52 @@ def test_a_variant_in_the_first_document_of_a_class_is_compared_with_its_second(
     docs = spark.createDataFrame([(0, " ".join(p + more + variant)), (1, " ".join(p + more)), (2, " ".join(fresh(90)))], "doc_id long, text string")
     out = {r.doc_id: r for r in passages.repeated_passages(docs).collect()}
     assert passage_words(out[0]) == {*range(340)} and passage_words(out[1]) == {*range(200)} and not out[2].n_passages
+
+
+@pytest.mark.parametrize("paired", [passages.PAIRED, 0])
+def test_few_pairs_of_many_windows_cover_all_that_all_pairs_do(monkeypatch, paired):
+    """Near copies with words replaced, put in and left out, two groups, repeats in a document: against all windows."""
+    rng = np.random.default_rng(40)
+    texts, key, doc, at = [], [], [], []
+    for group in range(2):
+        p = rng.integers(1, 1 << 62, 200, dtype=np.uint64)
+        for _ in range(40):
+            w = p.copy()
+            for _ in range(rng.integers(1, 6)):
+                k, (gone, put) = int(rng.choice(np.r_[5:90, 110:190])), ((5, 5), (4, 5), (5, 4))[rng.integers(3)]
+                w = np.concatenate([w[:k], rng.integers(1, 1 << 62, put, dtype=np.uint64), w[k + gone :]])
+            a, b = rng.integers(0, 60), len(w) - rng.integers(0, 60)
+            w = np.concatenate([w[a:b], rng.integers(1, 1 << 62, 9, dtype=np.uint64), w[a:b]][: 1 + 2 * (len(texts) % 9 == 0)])
+            for k in np.flatnonzero(w == p[100]).tolist():
+                key.append(group + 1)
+                doc.append(len(texts))
+                at.append(k)
+            texts.append(w)
+    begin = np.cumsum([0, *map(len, texts)])
+    key, doc, at = np.array(key, np.uint64), np.array(doc), np.array(at)
+    around, behind, before = passages.blocks_of(np.concatenate(texts), begin[doc] + at, begin[doc], begin[doc + 1])
+    monkeypatch.setattr(passages, "PAIRED", paired)
+    x, y = passages.near_pairs(key, doc, np.asfortranarray(around), behind, before)
+    assert (doc[x] > doc[y]).all() and (key[x] == key[y]).all()
+    if paired:
+        assert len(x) < 3 * len(key)
+
+    words, label = [set() for _ in texts], np.arange(len(texts))
+    for i, j in zip(x.tolist(), y.tolist()):
+        runs = passages.matches(texts[doc[i]], texts[doc[j]], int(at[j] - at[i]))
+        for d, found in zip((doc[i], doc[j]), runs):
+            words[d] |= {k for a, b in found for k in range(a, b)}
+        if runs[0]:
+            label[label == label[doc[i]]] = label[doc[j]]
+    starts = range(1 - passages.LEAST, 1)
+    runs = [{t: frozenset(texts[d][c + t : c + t + passages.LEAST].tolist()) for t in starts if 0 <= c + t <= len(texts[d]) - passages.LEAST} for d, c in zip(doc, at)]
+    links = 0
+    for i in range(len(key)):
+        for j in np.flatnonzero((key == key[i]) & (doc != doc[i])).tolist():
+            same = around[:, i] == around[:, j]
+            long = sum(int(np.argmin(np.r_[part[: passages.RUN], False])) for part in (same[passages.SIDE :], same[: passages.SIDE][::-1]))
+            near = [t for t, a in runs[i].items() if any(len(a & runs[j].get(t + k, a - a)) >= passages.NEEDED for k in range(-2, 3))] if long >= passages.RUN else []
+            assert {k for t in near for k in range(at[i] + t, at[i] + t + passages.LEAST)} <= words[doc[i]]
+            assert not near or label[doc[i]] == label[doc[j]]
+            links += bool(near)
+    assert links > 500
